@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, licenses, near_dedup, pii, secrets, toxicity
+from . import decontaminate, fingerprints, language, licenses, mixing, near_dedup, pii, repeats, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op5_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal expected tokens of every language."""
+    out = mixing.mix(_table(spark, sf_dir, "documents"), "lang")
+    return out.select("doc_id", "mix_tokens", "mix_domain", "mix_share", "mix_rate")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,12 +43,32 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_secret_scan, op4_language_id, op6_toxicity, op7_personal_data, op10_weighted_fingerprints)}
+    every = (
+        op1_minhash_near_dedup,
+        op2_license_scan,
+        op3_secret_scan,
+        op4_language_id,
+        op5_domain_mixing,
+        op6_toxicity,
+        op7_personal_data,
+        op8_benchmark_decontamination,
+        op9_suffix_dedup,
+        op10_weighted_fingerprints,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
