@@ -12,7 +12,8 @@ confirmed on the full sets. With 24 bands of 4 minima a pair of similarity 0.8 s
 Results: null and empty texts, and texts without words, have an empty set and are linked with nothing. A text
 with fewer words than a shingle has one shingle, the whole sequence. Ties and repeated rows: equal sets form
 one component; a doc_id that stands in several rows gives that many rows. Columns beyond those named are
-ignored. An empty table gives an empty result.
+ignored. Rows with a null doc_id are linked with nothing, have a null component_id and are kept. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,46 +128,85 @@ def _cut(percent: int) -> float:
     return t - SLACK * (share * (1 - share) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets have at least ``percent`` hundredths in common."""
+def _shared_sets(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b) with the full shingle sets of both ends, set_a and set_b."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = staged(texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def _enough(both: Column, left: Column, right: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union, from the sizes of the intersection and of both sets."""
+    return (100 + percent) * both >= percent * (left + right)
+
+
+def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """pairs with the estimate of their similarity."""
+    side = lambda c: signed.select(F.col("doc_id").alias(c), *(F.col(f"s{i}").alias(f"{c}s{i}") for i in range(LONGS)))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select(*pairs.columns, estimate("a", "b").alias("likely"))
+
+
+def _candidates(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) around a common hub that may be similar although one of them isn't similar to the hub.
+
+    With s the number of shingles that x and y share outside the hub, |x & y| <= min(|x & hub|, |y & hub|) + s. So
+    either the sizes alone allow the link, or x and y share a shingle outside the hub; as x needs at least
+    percent * |x| - |x & hub| of them, the first few in a fixed order are enough to look at (prefix filter), and
+    as s is no more than what either has outside the hub, most pairs that share one are ruled out by size too.
+    """
+    part = labels.select(F.col("v").alias("b"), F.col("p").alias("part"))
+    around = stars.join(stars.filter("not linked").select("a").distinct(), "a", "left_semi").join(part, "b", "left")
+    around = staged(around.withColumn("part", F.coalesce("part", "b")), "around")
+    y_names = {c: f"y_{c}" for c in ("b", "n_b", "both", "outside", "part", "linked")}
+    others = around.withColumnsRenamed(y_names)
+    alone = F.col("n_b") * percent <= 100 * F.col("both")
+    by_size = around.filter(~F.col("linked") & alone).select("a", "b", "n_b", "both", "part").join(others.filter("y_n_b < n_a").select("a", *y_names.values()), "a")
+    by_size = by_size.filter((F.col("part") != F.col("y_part")) & _enough(F.least("both", "y_both"), F.col("n_b"), F.col("y_n_b"), percent))
+    sizes = ["n_b", "both", "outside"]
+    left = around.filter(~F.col("linked")).select("a", "b", "part", *sizes, F.explode("rest").alias("shingle"))
+    right = others.select("a", "y_b", "y_part", "y_linked", *(y_names[c] for c in sizes), F.explode("rest").alias("shingle"))
+    fits = _enough(F.least("both", "y_both") + F.least("outside", "y_outside"), F.col("n_b"), F.col("y_n_b"), percent)
+    once = F.col("y_linked") | (F.col("b") < F.col("y_b"))
+    by_rest = left.join(right, ["a", "shingle"]).filter((F.col("part") != F.col("y_part")) & fits & once)
+    found = by_size.select("b", "y_b").unionByName(by_rest.select("b", "y_b"))
+    return found.select(F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (links confirmed for the representative of its set)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(texts.mapInArrow(_signatures(width), _SIGNATURE_DDL), "signatures")
-    same = staged(rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("h1", "h2", "rep"), "same")
-    members = rows.select("doc_id", "n", "h1", "h2").join(same, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    same = staged(rows.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("h1", "h2", "rep"), "same")
+    members = rows.select("doc_id", "n", "h1", "h2").join(same, ["h1", "h2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     members = staged(members, "members")
-    signed = [f"s{i}" for i in range(LONGS)]
     heads = staged(members.filter("doc_id = rep and n > 0").select("doc_id").distinct(), "heads")
-    # A doc_id may stand in several rows with different texts: the smallest such set stands for it.
-    reps = rows.filter("n > 0").join(heads, "doc_id", "left_semi").select("doc_id", "bands", *signed)
-    cells = reps.select("doc_id", F.explode("bands").alias("key"), *signed)
-    hubs = staged(cells.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", "hub"), "hubs")
-    held = staged(cells.join(hubs, "key"), "buckets")
-
-    hub_side = reps.select(F.col("doc_id").alias("a"), *(F.col(s).alias(f"l{s}") for s in signed))
-    stars = held.filter("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), *signed).dropDuplicates(["a", "b"])
-    stars = staged(stars.join(hub_side, "a").filter(estimate("l", "") >= _cut(percent)).select("a", "b").distinct(), "stars")
-    links = staged(confirmed(stars, texts, width, percent), "links")
+    reps = staged(rows.filter("n > 0").join(heads, "doc_id", "left_semi").select("doc_id", "bands", *(f"s{i}" for i in range(LONGS))), "reps")
+
+    # The document that shares most band keys with others is the hub of its buckets.
+    cells = reps.select("doc_id", F.explode("bands").alias("key"))
+    shared = staged(cells.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
+    cells = staged(cells.join(shared, "key"), "cells")
+    weight = cells.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    hubs = staged(cells.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("low"))).alias("top")).select("key", (-F.col("top.low")).alias("a")), "hubs")
+    stars = cells.join(hubs, "key").filter("a != doc_id").groupBy("a", F.col("doc_id").alias("b")).agg(F.max("size").alias("size"))
+    cut = _cut(percent)
+    # In a bucket of two, a pair that is far below the threshold is done; a larger bucket needs all overlaps with its hub.
+    stars = staged(_likely(stars, reps).filter((F.col("likely") >= cut) | (F.col("size") > 2)).select("a", "b"), "stars")
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
+    need = F.greatest(F.ceil(F.col("n_b") * percent / 100) - F.col("both"), F.lit(1))
+    stars = _shared_sets(stars, texts, width).select("a", "b", F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"), both.alias("both"), F.array_except("set_b", "set_a").alias("rest"))
+    rest = F.slice("rest", F.lit(1), F.greatest(F.size("rest") - need + 1, F.lit(0)).cast("int"))
+    stars = staged(stars.select("a", "b", "n_a", "n_b", "both", F.size("rest").alias("outside"), _enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent).alias("linked"), rest.alias("rest")), "overlaps")
+    links = stars.filter("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels = components(links)
 
-    named = lambda c: labels.select(F.col("v").alias(c), F.col("p").alias(f"{c}_part"))
-    parts = staged(held.join(named("doc_id"), "doc_id", "left").join(named("hub"), "hub", "left").select("key", "doc_id", F.coalesce("doc_id_part", "doc_id").alias("part"), F.coalesce("hub_part", "hub").alias("main"), *signed), "parts")
-    left = parts.filter("part != main").select("key", F.col("doc_id").alias("a"), F.col("part").alias("a_part"), *(F.col(s).alias(f"l{s}") for s in signed))
-    pairs = left.join(parts, "key").filter((F.col("a_part") != F.col("part")) & (estimate("l", "") >= _cut(percent)))
-    pairs = staged(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = staged(_likely(staged(_candidates(stars, labels, percent), "candidates"), reps).filter(F.col("likely") >= cut).select("a", "b"), "pairs")
     if not pairs.isEmpty():
-        links = staged(links.unionByName(confirmed(pairs, texts, width, percent)), "links")
+        sized = _shared_sets(pairs, texts, width).select("a", "b", both.alias("both"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
+        links = staged(links.unionByName(sized.filter(_enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")).distinct(), "links")
         labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = staged(labels.select(F.col("v").alias("rep"), "p").join(degree, "rep", "full_outer"), "found")
     out = members.join(found, "rep", "left").withColumn("component_id", F.coalesce("p", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
