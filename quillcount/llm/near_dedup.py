@@ -152,8 +152,9 @@ def _candidates(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     With s the number of shingles that x and y share outside the hub, |x & y| <= min(|x & hub|, |y & hub|) + s. So
     either the sizes alone allow the link, or x and y share a shingle outside the hub; as x needs at least
-    percent * |x| - |x & hub| of them, the first few in a fixed order are enough to look at (prefix filter), and
-    as s is no more than what either has outside the hub, most pairs that share one are ruled out by size too.
+    percent * (|x| + |y|) / (100 + percent) - |x & hub| of them, with the smallest |y| around the hub, the first few
+    in a fixed order are enough to look at (prefix filter), and as s is no more than what either has outside the
+    hub, most pairs that share one are ruled out by size too.
     """
     part = labels.select(F.col("v").alias("b"), F.col("p").alias("part"))
     around = stars.join(stars.filter("not linked").select("a").distinct(), "a", "left_semi").join(part, "b", "left")
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = rows.select("doc_id", "n", "h1", "h2").join(same, ["h1", "h2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     members = staged(members, "members")
     heads = staged(members.filter("doc_id = rep and n > 0").select("doc_id").distinct(), "heads")
-    reps = staged(rows.filter("n > 0").join(heads, "doc_id", "left_semi").select("doc_id", "bands", *(f"s{i}" for i in range(LONGS))), "reps")
+    reps = staged(rows.filter("n > 0").join(heads, "doc_id", "left_semi").select("doc_id", "n", "bands", *(f"s{i}" for i in range(LONGS))), "reps")
 
     # The document that shares most band keys with others is the hub of its buckets.
     cells = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -194,8 +195,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # In a bucket of two, a pair that is far below the threshold is done; a larger bucket needs all overlaps with its hub.
     stars = staged(_likely(stars, reps).filter((F.col("likely") >= cut) | (F.col("size") > 2)).select("a", "b"), "stars")
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    need = F.greatest(F.ceil(F.col("n_b") * percent / 100) - F.col("both"), F.lit(1))
-    stars = _shared_sets(stars, texts, width).select("a", "b", F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"), both.alias("both"), F.array_except("set_b", "set_a").alias("rest"))
+    sizes = stars.join(reps.select(F.col("doc_id").alias("b"), "n"), "b")
+    stars = staged(stars.join(sizes.groupBy("a").agg(F.min("n").alias("least")), "a"), "around")
+    other = F.greatest("least", F.ceil(F.col("n_b") * percent / 100))
+    need = F.greatest(F.ceil((F.col("n_b") + other) * percent / (100 + percent)) - F.col("both"), F.lit(1))
+    stars = _shared_sets(stars, texts, width).select("a", "b", "least", F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"), both.alias("both"), F.array_except("set_b", "set_a").alias("rest"))
     rest = F.slice("rest", F.lit(1), F.greatest(F.size("rest") - need + 1, F.lit(0)).cast("int"))
     stars = staged(stars.select("a", "b", "n_a", "n_b", "both", F.size("rest").alias("outside"), _enough(F.col("both"), F.col("n_a"), F.col("n_b"), percent).alias("linked"), rest.alias("rest")), "overlaps")
     links = stars.filter("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
