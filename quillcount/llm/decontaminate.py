@@ -41,7 +41,7 @@ WALKS, TABLES, SAMPLED = 3, 8, 7
 BLOCK_BYTES = 128 << 10
 LEAST = 32
 _GRAM = 8
-_FILTER_BITS = 22
+_FILTER_BITS, _OWN_BITS = 22, 12
 _WINDOWS = 1 << 15
 
 _NORMAL = np.arange(256, dtype=np.uint8)
@@ -74,9 +74,9 @@ class Index:
             if form:
                 (self.items if len(form) >= LEAST else self.short).append((key, form))
         grams = [self._codes(np.frombuffer(t, np.uint8)) for _, t in self.items]
-        self.grams = np.zeros(1 << _FILTER_BITS, bool)
-        if grams:
-            self.grams[self._slot(np.concatenate(grams))] = True
+        self.own = np.zeros((len(self.items), 1 << _OWN_BITS), bool)
+        for i, code in enumerate(grams):
+            self.own[i, self._slot(code, _OWN_BITS)] = True
         sizes = defaultdict(list)
         for i, (_, t) in enumerate(self.items):
             size = 1 << (len(t).bit_length() - 1)
@@ -93,7 +93,9 @@ class Index:
                 tables.append((keys[order, t], owner[order], start[order]))
             likely = np.zeros(1 << _FILTER_BITS, bool)
             likely[self._slot(keys.ravel())] = True
-            self.sizes[size] = (tables, likely)
+            known = np.zeros(1 << _FILTER_BITS, bool)
+            known[self._slot(np.concatenate([grams[i] for i in {*owner.tolist()}]))] = True
+            self.sizes[size] = (tables, likely, known)
 
     @staticmethod
     def _codes(b: np.ndarray) -> np.ndarray:
@@ -106,8 +108,8 @@ class Index:
         return code
 
     @staticmethod
-    def _slot(code: np.ndarray) -> np.ndarray:
-        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+    def _slot(code: np.ndarray, bits: int = _FILTER_BITS) -> np.ndarray:
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
     @staticmethod
     def keys(rows: np.ndarray) -> np.ndarray:
@@ -137,10 +139,17 @@ class Index:
     def found(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, object, int]]:
         """(row, item id, edit distance) in texts of normal form: each row and item once."""
         seen: dict[tuple[int, int], int] = {}
-        for row, item, near in self._candidates(data, off):
-            key, form = self.items[item]
+        codes = self._codes(data)
+        slots = self._slot(codes)
+        few = slots >> (_FILTER_BITS - _OWN_BITS)
+        for row, item, near in self._candidates(data, off, slots):
+            form = self.items[item][1]
             limit = int(EDITS * len(form))
-            text = data[max(off[row], near - limit) : min(off[row + 1], near + len(form) + limit)].tobytes()
+            a, b = max(int(off[row]), near - limit), min(int(off[row + 1]), near + len(form) + limit)
+            # Each edit breaks 8 of the item's 8-byte strings at most; the others stand in the text.
+            if np.count_nonzero(self.own[item][few[a : max(a, b - _GRAM + 1)]]) < len(form) - _GRAM + 1 - _GRAM * limit:
+                continue
+            text = data[a:b].tobytes()
             distance = 0 if form in text else edits_inside(form, text)
             if distance <= limit:
                 seen[row, item] = min(distance, seen.get((row, item), distance))
@@ -152,19 +161,18 @@ class Index:
                 if b" " + form + b" " in text:
                     yield row, key, 0
 
-    def _candidates(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+    def _candidates(self, data: np.ndarray, off: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int]]:
         """Distinct (row, item, where the item would start), places rounded to a few bytes."""
         out: set[tuple[int, int, int]] = set()
         if not self.items or len(data) < _GRAM:
             return []
-        known = self.grams[self._slot(self._codes(data))]
-        total = np.append(0, np.cumsum(known))
         words = np.flatnonzero((data[:-1] == 32) & (data[1:] != 32)) + 1
         row = np.searchsorted(off, words, "right") - 1
-        for size, (tables, likely) in self.sizes.items():
+        for size, (tables, likely, grams) in self.sizes.items():
+            total = np.append(0, np.cumsum(grams[slots], dtype=np.int32))
             fit = words + size <= off[row + 1]
             starts, rows = words[fit], row[fit]
-            shared = total[np.minimum(starts + size - _GRAM + 1, len(known))] - total[starts]
+            shared = total[np.minimum(starts + size - _GRAM + 1, len(slots))] - total[starts]
             passed = shared >= size - (_GRAM - 1) - _GRAM * EDITS * size
             starts, rows = starts[passed], rows[passed]
             for i in range(0, len(starts), _WINDOWS):
