@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 SAMPLES = 24
+#: Samples that one row of (text, term) computes; more would make one generated method too large to compile well.
+TOGETHER = 4
 #: ln(a) is kept to 2**-24 between -64 and 64.
 _SCALE = float(1 << 24)
 _BORDER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,9 +39,9 @@ def _uniform(h: Column, part: int) -> Column:
     return (F.shiftrightunsigned(h, 21 * part).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / _UNIT
 
 
-def sample(term: Column, weight_log: Column, k: int) -> Column:
+def sample(term: Column, weight_log: Column, k: Column) -> Column:
     """ln(a) and the hash of (term, t) of sample k, packed in a long whose order is that of a."""
-    g, h = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    g, h = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
     r = -F.log(_uniform(g, 0) * _uniform(g, 1))
     c = -F.log(_uniform(h, 0) * _uniform(h, 1))
     b = _uniform(g, 2)
@@ -64,9 +66,12 @@ def fingerprinted(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     rows = rows.select(*keys, F.explode(_runs(F.col("hashes"), F.col("starts"))).alias("x"))
     blank = F.col("x.term") == F.xxhash64(F.lit(""))
     rows = rows.select(*keys, F.when(~blank, F.col("x.term")).alias("term"), F.log(1.0 + F.log(F.col("x.n").cast("double"))).alias("w"))
-    mins = rows.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("w"), k))).alias(f"m{k}") for k in range(SAMPLES)))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for k in range(SAMPLES)]
-    return mins.select(*keys, F.when(F.col("m0").isNull(), "").otherwise(F.concat(*digits)).alias("fingerprint"))
+    rows = rows.select(*keys, "term", "w", F.explode(F.array(*map(F.lit, range(0, SAMPLES, TOGETHER)))).alias("k"))
+    mins = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("w"), F.col("k") + j))).alias(f"m{j}") for j in range(TOGETHER)]
+    digits = [F.lpad(F.lower(F.hex(F.col(f"m{j}").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for j in range(TOGETHER)]
+    parts = rows.groupBy(*keys, "k").agg(*mins).select(*keys, "k", F.when(F.col("m0").isNull(), "").otherwise(F.concat(*digits)).alias("part"))
+    whole = parts.groupBy(*keys).agg(*(F.max(F.when(F.col("k") == k, F.col("part"))).alias(f"p{k}") for k in range(0, SAMPLES, TOGETHER)))
+    return whole.select(*keys, F.concat(*(f"p{k}" for k in range(0, SAMPLES, TOGETHER))).alias("fingerprint"))
 
 
 def likeness(a: str, b: str) -> Column:
