@@ -378,3 +378,10 @@ def concatenated_conversations(spark, sf_dir):
 @query("SELECT quantile_disc(strlen(text), 0.5) AS median, quantile_disc(strlen(text), 0.95) AS p95 FROM documents")
 def size_percentiles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(T.characters(F.col("text")).alias("c")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY c)").cast("long").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY c)").cast("long").alias("p95"))
+
+
+@query("SELECT source, lang, COUNT(*) AS file_count, CAST(SUM(strlen(text)) AS BIGINT) AS characters FROM documents GROUP BY ROLLUP (source, lang)")
+def subtotals(spark, sf_dir):
+    """An extension: totals by source and language with their subtotals."""
+    docs = table(spark, sf_dir, "documents").select("source", "lang", T.characters(F.col("text")).alias("characters"))
+    return docs.rollup("source", "lang").agg(F.count("*").alias("file_count"), F.sum("characters").alias("characters"))
