@@ -153,8 +153,8 @@ def _candidates(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     With s the number of shingles that x and y share outside the hub, |x & y| <= min(|x & hub|, |y & hub|) + s. So
     either the sizes alone allow the link, or x and y share a shingle outside the hub; as x needs at least
     percent * (|x| + |y|) / (100 + percent) - |x & hub| of them, with the smallest |y| around the hub, the first few
-    in a fixed order are enough to look at (prefix filter), and as s is no more than what either has outside the
-    hub, most pairs that share one are ruled out by size too.
+    in a fixed order are enough to look at (prefix filter). At the first one they share, s is no more than what
+    either still has from there on, which rules most pairs out (positional filter).
     """
     part = labels.select(F.col("v").alias("b"), F.col("p").alias("part"))
     around = stars.join(stars.filter("not linked").select("a").distinct(), "a", "left_semi").join(part, "b", "left")
@@ -165,9 +165,9 @@ def _candidates(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     by_size = around.filter(~F.col("linked") & alone).select("a", "b", "n_b", "both", "part").join(others.filter("y_n_b < n_a").select("a", *y_names.values()), "a")
     by_size = by_size.filter((F.col("part") != F.col("y_part")) & _enough(F.least("both", "y_both"), F.col("n_b"), F.col("y_n_b"), percent))
     sizes = ["n_b", "both", "outside"]
-    left = around.filter(~F.col("linked")).select("a", "b", "part", *sizes, F.explode("rest").alias("shingle"))
-    right = others.select("a", "y_b", "y_part", "y_linked", *(y_names[c] for c in sizes), F.explode("rest").alias("shingle"))
-    fits = _enough(F.least("both", "y_both") + F.least("outside", "y_outside"), F.col("n_b"), F.col("y_n_b"), percent)
+    left = around.filter(~F.col("linked")).select("a", "b", "part", *sizes, F.posexplode("rest").alias("place", "shingle"))
+    right = others.select("a", "y_b", "y_part", "y_linked", *(y_names[c] for c in sizes), F.posexplode("rest").alias("y_place", "shingle"))
+    fits = _enough(F.least("both", "y_both") + F.least(F.col("outside") - F.col("place"), F.col("y_outside") - F.col("y_place")), F.col("n_b"), F.col("y_n_b"), percent)
     once = F.col("y_linked") | (F.col("b") < F.col("y_b"))
     by_rest = left.join(right, ["a", "shingle"]).filter((F.col("part") != F.col("y_part")) & fits & once)
     found = by_size.select("b", "y_b").unionByName(by_rest.select("b", "y_b"))
