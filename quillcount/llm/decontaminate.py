@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .staging import staged
 
 EDITS = 0.08
 WALKS, TABLES, SAMPLED = 3, 8, 7
@@ -219,14 +220,14 @@ def edits_inside(pattern: bytes, text: bytes) -> int:
     return best
 
 
-def _blocks(items: DataFrame) -> Iterator[Index]:
-    """Indexes of blocks of items, of bounded size in expectation."""
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[Index, bool]]:
+    """Indexes of blocks of items, of bounded size in expectation, and whether there is more than one."""
     known = items.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES)
+    blocks = -(-size // block_bytes)
     for b in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        yield Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))), blocks > 1
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -234,7 +235,7 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield (i, *normalised(data, off))
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, distance: one row for each text and item that is found in it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = items.schema["item_id"].dataType.simpleString()
@@ -249,13 +250,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         return run
 
     out = None
-    for index in _blocks(items):
+    for index, several in _blocks(items, block_bytes):
         part = texts.mapInArrow(finder(index), f"doc_id long, item_id {'long' if kind in ('bigint', 'int') else kind}, distance long")
+        part = staged(part, "found") if several else part  # one block's index at a time is held
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id long, item_id {kind}, distance long")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found, with all their columns."""
     schema, names = docs.schema, docs.columns
 
@@ -270,6 +272,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return run
 
-    for index in _blocks(items):
+    for index, several in _blocks(items, block_bytes):
         docs = docs.mapInArrow(keeper(index), schema)
+        docs = staged(docs, "clean") if several else docs
     return docs

@@ -57,7 +57,8 @@ def test_table(spark):
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert want and of(dc.contaminated(docs, items)) == want
-    clean = {r.doc_id for r in dc.drop_contaminated(docs, items).collect()}
+    assert of(dc.contaminated(docs, items, block_bytes=4000)) == want
+    clean = {r.doc_id for r in dc.drop_contaminated(docs, items, block_bytes=5000).collect()}
     assert clean == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
