@@ -10,7 +10,7 @@ The n-gram counts come from a sample of ``SAMPLE_ROWS`` rows of each language in
 doc_id. n-grams are runs of ``SIZES`` bytes of the lower-cased text inside a word and its borders.
 
 Results: und with score 0 for a null text, a text without any letter, or a table without labelled rows. Null
-languages are not learned. The score is the share of the winner among all corrected counts. Columns beyond
+languages are not learned, nor are rows with a null doc_id, which aren't held out either. The score is the share of the winner among all corrected counts. Columns beyond
 doc_id, text and lang are ignored, whatever their names.
 """
 
@@ -168,5 +168,5 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 def language_id(docs: DataFrame) -> DataFrame:
     """Filters learned from the training share of ``docs``, applied to all of it."""
     out = identify(docs, learn(training_share(docs)))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -1,10 +1,10 @@
 """License scan by ordered signature rules. DataFrame functions only, one narrow pass without a shuffle.
 
 A text that holds none of ``GATES`` is done after one look for them. Of the others, the words around each
-keyword are joined by single spaces, and each rule whose own keyword stands in them is tried. A detection is the interval of words a rule matches around the keyword. Intervals are resolved in
-one sweep in order of start: one that lies inside an interval of a rule of the same or a higher priority is
-suppressed. Priorities: 4 a tag (SPDX-License-Identifier), 3 a phrase of a license's own text, 2 a grant
-("licensed under ..."), 1 a name.
+keyword are joined by single spaces, and each rule whose own keyword stands in them is tried. A detection is the
+interval of words that a rule matches around the keyword. Intervals are resolved in one sweep in order of start:
+one that lies inside an interval of a rule of the same or a higher priority is suppressed. Priorities: 4 a tag
+(SPDX-License-Identifier), 3 a phrase of a license's own text, 2 a grant ("licensed under ..."), 1 a name.
 
 The rules are ``LICENSES`` x ``TEMPLATES`` and ``PHRASES``, written out by rules().
 
