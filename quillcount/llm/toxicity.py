@@ -10,7 +10,8 @@ raise the score. Identity terms are always in the vocabulary, that the penalty c
 
 Results: a null or empty text gets the score of a text without any feature, the model's base rate. A training
 table with one label only, or none, gives a constant score. Labels that are null are not learned from; several
-label rows of one document count as several rows. Other columns, whatever their names, are ignored.
+label rows of one document count as several rows. A row with a null doc_id is scored, but never learned from or
+held out. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -153,7 +154,8 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray)
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn labels.toxic from the texts of the training share of ``docs``."""
     known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") != 0).cast("long").alias("label"))
-    rows = training_share(docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")).join(known, "doc_id").select("doc_id", "text", "label")
+    rows = training_share(docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")).join(known.hint("merge"), "doc_id").select("doc_id", "text", "label")
+    # The same plan at every size: labels grow with the documents, so they are never broadcast.
     size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     n = sum(size.values())
     if not size.get(0) or not size.get(1):
@@ -204,7 +206,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     out = scores(docs, train(docs, labels))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
