@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = staged(_likely(stars, reps).filter((F.col("likely") >= cut) | (F.col("size") > 2)).select("a", "b"), "stars")
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     sizes = stars.join(reps.select(F.col("doc_id").alias("b"), "n"), "b")
-    stars = staged(stars.join(sizes.groupBy("a").agg(F.min("n").alias("least")), "a"), "around")
+    smallest = staged(sizes.groupBy("a").agg(F.min("n").alias("least")), "smallest")
+    stars = staged(stars.join(smallest, "a"), "around")
     other = F.greatest("least", F.ceil(F.col("n_b") * percent / 100))
     need = F.greatest(F.ceil((F.col("n_b") + other) * percent / (100 + percent)) - F.col("both"), F.lit(1))
     stars = _shared_sets(stars, texts, width).select("a", "b", "least", F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"), both.alias("both"), F.array_except("set_b", "set_a").alias("rest"))
