@@ -2,9 +2,9 @@
 
 A text's terms are its words, ASCII letters folded, weighted 1 + ln(count). For each of ``SAMPLES`` independent samples
 and each term, hashes of (term, sample) give r and c from Gamma(2, 1) and b from the unit interval; with
-t = floor(ln(weight) / r + b), ln(a) = ln(c) - r * (t - b + 1), the sample is the (term, t) of the smallest a.
+t = floor(ln(weight) / r + b), a = c * exp(-r * (t - b + 1)), the sample is the (term, t) of the smallest a.
 Two texts agree in a sample with a probability of the sum of smaller weights over the sum of larger weights,
-the generalised Jaccard similarity. Each sample is kept as 32 bits of hash(term, t), the fingerprint as their
+the generalised Jaccard similarity. Each sample is kept as 24 bits of hash(term, t), the fingerprint as their
 hex digits. The order of a and the hash are packed in one long, so a sample is min() over longs: no row leaves
 its partition between its text and its fingerprint.
 
@@ -28,8 +28,10 @@ from .staging import staged
 SAMPLES = 24
 #: Samples that one row of (text, term) computes; more would make one generated method too large to compile well.
 TOGETHER = 4
-#: ln(a) is kept to 2**-24 between -64 and 64.
-_SCALE = float(1 << 24)
+#: a, which is under 64, is kept to 2**-32, above the bits of the hash.
+_SCALE, _HASH_BITS = float(1 << 32), 24
+_DIGITS = _HASH_BITS // 4
+_HASH = (1 << _HASH_BITS) - 1
 _BORDER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UNIT = float(1 << 21)
 
@@ -40,15 +42,16 @@ def _uniform(h: Column, part: int) -> Column:
 
 
 def sample(term: Column, weight_log: Column, k: Column) -> Column:
-    """ln(a) and the hash of (term, t) of sample k, packed in a long whose order is that of a."""
-    g, h = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
+    """a and the hash of (term, t) of sample k, packed in a long whose order is that of a."""
+    g = F.xxhash64(term, k)
+    h = F.xxhash64(g)
     r = -F.log(_uniform(g, 0) * _uniform(g, 1))
     c = -F.log(_uniform(h, 0) * _uniform(h, 1))
     b = _uniform(g, 2)
     t = F.floor(weight_log / r + b)
-    ln_a = F.log(c) - r * (t - b + 1)
-    order = F.greatest(F.least((ln_a + 64.0) * _SCALE, F.lit(2.0**31 - 1)), F.lit(0.0)).cast("long")
-    return F.shiftleft(order, 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+    order = F.floor(c * F.exp(r * (b - t - 1)) * _SCALE)
+    # t is under 2**31, as r is over 2**-22: the product is no overflow.
+    return F.shiftleft(order, _HASH_BITS).bitwiseOR(g.bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit(_HASH)))
 
 
 def _runs(hashes: Column, starts: Column) -> Column:
@@ -68,7 +71,7 @@ def fingerprinted(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     rows = rows.select(*keys, F.when(~blank, F.col("x.term")).alias("term"), F.log(1.0 + F.log(F.col("x.n").cast("double"))).alias("w"))
     rows = rows.select(*keys, "term", "w", F.explode(F.array(*map(F.lit, range(0, SAMPLES, TOGETHER)))).alias("k"))
     mins = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("w"), F.col("k") + j))).alias(f"m{j}") for j in range(TOGETHER)]
-    digits = [F.lpad(F.lower(F.hex(F.col(f"m{j}").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for j in range(TOGETHER)]
+    digits = [F.lpad(F.lower(F.hex(F.col(f"m{j}").bitwiseAND(F.lit(_HASH)))), _DIGITS, "0") for j in range(TOGETHER)]
     parts = rows.groupBy(*keys, "k").agg(*mins).select(*keys, "k", F.when(F.col("m0").isNull(), "").otherwise(F.concat(*digits)).alias("part"))
     whole = parts.groupBy(*keys).agg(*(F.max(F.when(F.col("k") == k, F.col("part"))).alias(f"p{k}") for k in range(0, SAMPLES, TOGETHER)))
     return whole.select(*keys, F.concat(*(f"p{k}" for k in range(0, SAMPLES, TOGETHER))).alias("fingerprint"))
@@ -78,7 +81,7 @@ def likeness(a: str, b: str) -> Column:
     """The share of equal samples of two fingerprints; of two empty ones 1, of an empty and another one 0."""
     same = F.lit(0)
     for k in range(SAMPLES):
-        same = same + F.when(F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8), 1).otherwise(0)
+        same = same + F.when(F.substring(a, _DIGITS * k + 1, _DIGITS) == F.substring(b, _DIGITS * k + 1, _DIGITS), 1).otherwise(0)
     return F.when((F.col(a) == "") | (F.col(b) == ""), (F.col(a) == F.col(b)).cast("double")).otherwise(same / F.lit(float(SAMPLES)))
 
 
@@ -111,10 +114,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.col("k")), F.col("prefix"))
     both = both.select("doc_id", "h", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = both.select("doc_id", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit("").alias("sha"), F.col("n_chars"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.sha2("edited", 256).alias("sha"), F.col("n_chars"), F.col("edited").alias("text")))).alias("x"))
-    printed = fingerprinted(both.select("doc_id", "h", "x.*"), ["doc_id", "h", "kind", "sha", "n_chars"], "text")
-    pick = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    printed = staged(printed.groupBy("doc_id", "h").agg(F.max("n_chars").alias("n_chars"), pick("sha", 1).alias("edited_sha256"), pick("fingerprint", 0).alias("fingerprint"), pick("fingerprint", 1).alias("edited_fingerprint")), "fingerprints")
+    sums = both.select("doc_id", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    kinds = both.select("doc_id", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
+    # Short keys: they are looked up once for each term.
+    printed = fingerprinted(kinds.select("doc_id", "h", "x.*"), ["doc_id", "h", "kind"], "text")
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
+    printed = printed.groupBy("doc_id", "h").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint"))
+    if copied:
+        sums = sums.distinct()
+    printed = staged(printed.join(sums, ["doc_id", "h"]), "fingerprints")
 
     after = printed.select(F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.col("fingerprint").alias("next_fingerprint"))
     out = printed.join(order.select("doc_id", "h", "to_id", "to_h"), ["doc_id", "h"]).join(after, ["to_id", "to_h"])

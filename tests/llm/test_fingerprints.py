@@ -41,9 +41,9 @@ def test_table(spark):
     for i, d in enumerate(ids):
         x = got[d]
         assert x.n_chars == len(rows[d]) and x.edited_sha256 == hashlib.sha256(other[d].encode()).hexdigest()
-        assert by_text.setdefault(rows[d], x.fingerprint) == x.fingerprint and len(x.fingerprint) == 8 * fp.SAMPLES
+        assert by_text.setdefault(rows[d], x.fingerprint) == x.fingerprint and len(x.fingerprint) == 6 * fp.SAMPLES
         nxt = got[ids[(i + 1) % len(ids)]].fingerprint
-        assert abs(x.near_next - sum(x.fingerprint[j : j + 8] == nxt[j : j + 8] for j in range(0, len(nxt), 8)) / fp.SAMPLES) < 1e-9
+        assert abs(x.near_next - sum(x.fingerprint[j : j + 6] == nxt[j : j + 6] for j in range(0, len(nxt), 6)) / fp.SAMPLES) < 1e-9
         errors.append(x.near_edited - alike(rows[d], other[d]))
     assert abs(sum(errors) / len(errors)) < 0.02 and max(map(abs, errors)) < 0.5
 
@@ -58,7 +58,7 @@ def test_collision_rate(spark):
     for a in range(0, 600, 2):
         b = a + 1
         real.append(alike(rows[a][1], rows[b][1]))
-        seen.append(sum(got[a][j : j + 8] == got[b][j : j + 8] for j in range(0, 8 * fp.SAMPLES, 8)) / fp.SAMPLES)
+        seen.append(sum(got[a][j : j + 6] == got[b][j : j + 6] for j in range(0, 6 * fp.SAMPLES, 6)) / fp.SAMPLES)
     assert abs(sum(real) / len(real) - sum(seen) / len(seen)) < 0.02
 
 
