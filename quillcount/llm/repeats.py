@@ -40,9 +40,9 @@ from .suffix_sort import suffix_array
 WINDOW, GRAM = 100, 32
 SIDE = WINDOW - GRAM
 #: Text bytes for each bucket of anchors, and bytes of regions for each shard of suffixes.
-BUCKET_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
+BUCKET_BYTES, SHARD_BYTES = 8 << 20, 3 << 19
 #: Anchors a task gathers before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Different regions of one gram: in a task's gathering, before they are dealt; in all, before windows are shuffled.
 DEALT_REGIONS, HOT_REGIONS = 256, 20_000
 SLICE = 1 << 18
