@@ -143,10 +143,10 @@ class Index:
         codes = self._codes(data)
         slots = self._slot(codes)
         few = slots >> (_FILTER_BITS - _OWN_BITS)
-        for row, item, near in self._candidates(data, off, slots):
+        for row, item, near, last in self._candidates(data, off, slots):
             form = self.items[item][1]
             limit = int(EDITS * len(form))
-            a, b = max(int(off[row]), near - limit), min(int(off[row + 1]), near + len(form) + limit)
+            a, b = max(int(off[row]), near - limit), min(int(off[row + 1]), last + len(form) + limit)
             # Each edit breaks 8 of the item's 8-byte strings at most; the others stand in the text.
             if np.count_nonzero(self.own[item][few[a : max(a, b - _GRAM + 1)]]) < len(form) - _GRAM + 1 - _GRAM * limit:
                 continue
@@ -162,8 +162,8 @@ class Index:
                 if b" " + form + b" " in text:
                     yield row, key, 0
 
-    def _candidates(self, data: np.ndarray, off: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int]]:
-        """Distinct (row, item, where the item would start), places rounded to a few bytes."""
+    def _candidates(self, data: np.ndarray, off: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Distinct (row, item, first and last place where the item would start)."""
         out: set[tuple[int, int, int]] = set()
         if not self.items or len(data) < _GRAM:
             return []
@@ -186,16 +186,15 @@ class Index:
                     n = high - low
                     which = np.repeat(np.arange(len(at)), n)
                     place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    step = 16
-                    near = (here[at[which]] - begin[place]) // step * step
+                    near = here[at[which]] - begin[place]
                     out.update(zip(rows[i : i + _WINDOWS][at[which]].tolist(), owner[place].tolist(), near.tolist(), strict=True))
-        # One place each for what the same passage's windows say, as far as their places agree within the limit.
-        kept, last = [], None
+        # One range each for what the same passage's windows say; no place is left out.
+        kept: list[tuple[int, int, int, int]] = []
         for r, item, near in sorted(out):
-            if last and (r, item) == last[:2] and near - last[2] <= int(EDITS * len(self.items[item][1])) // 2:
-                continue
-            last = (r, item, near)
-            kept.append((r, item, max(near, 0)))
+            if kept and (r, item) == kept[-1][:2] and near - kept[-1][3] <= max(_GRAM, int(EDITS * len(self.items[item][1]))):
+                kept[-1] = (r, item, kept[-1][2], near)
+            else:
+                kept.append((r, item, near, near))
         return kept
 
 

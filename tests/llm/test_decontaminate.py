@@ -90,3 +90,26 @@ def test_edges(spark, edge_docs, no_docs):
     assert got == {(7, 3), (8, 3), (11, 4), (12, None)}
     assert dc.contaminated(no_docs, items).collect() == [] and dc.contaminated(edge_docs, items.limit(0)).collect() == []
     assert dc.drop_contaminated(edge_docs, items).count() == edge_docs.count() - 4
+
+
+def found(items, texts):
+    """What an index of ``items`` finds in each of ``texts``, read alone."""
+    import numpy as np
+
+    index, out = dc.Index(items), {}
+    for d, text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        out |= {(d, k): n for _, k, n in index.found(*dc.normalised(raw, np.array([0, len(raw)])))}
+    return out
+
+
+def test_exact_copies_at_every_offset():
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("etaoinshrdlu", k=rnd.randrange(2, 9)))
+    items, texts = [], []
+    for size in (32, 33, 40, 48, 60, 63, 64, 81, 90, 100, 127, 128, 150, 187, 190):
+        text = " ".join(word() for _ in range(size))[:size].rstrip().ljust(size, "e")
+        items.append((size, text))
+        texts += [((size, offset), "a" * (offset + 8) + f" {text} " + " ".join(word() for _ in range(40))) for offset in range(16)]
+    want = brute(texts, items)
+    assert len(want) >= len(texts) and found(items, texts) == want
