@@ -8,16 +8,19 @@ The windows of a text that are embedded have an item's size, to the power of two
 reads a window: at step j it puts out the current byte and moves on if a random bit of (j, byte) says so. Two
 windows at small edit distance have embeddings at small Hamming distance with good probability. Bit-sampling LSH:
 each of ``WALKS`` walks gives ``TABLES`` keys, each of ``SAMPLED`` places of the embedding; a text's window and an
-item's window with a key in common are a candidate. An item has windows from each of its words on, so any part of it
-that is little edited finds the rest. A candidate's place is then verified with the exact edit distance between
-the whole item and the best part of the text there.
+item's window with a key in common are a candidate. A text has windows from each of its characters on, so that text
+without spaces, or an item that follows other text without a separator, is no exception. An item has windows from
+each of its words on, and within longer words from every few bytes, so any part of it that is little edited finds
+the rest. A candidate's place is then verified with the exact edit distance between the whole item and the best part
+of the text there.
 
 Before the walk a test without loss lets only such windows pass as can be within the edits of some item's window:
 they share more than n - 7 - 8 * edits of their 8-byte strings with the items.
 
 Items are taken in blocks of ``BLOCK_BYTES`` in expectation, by a hash; each block goes to all tasks and reads all
 texts, so any number of items takes bounded memory. Items of under ``LEAST`` bytes are found where they stand
-exactly, between spaces.
+exactly and don't cut a word: at each end a space, another character than letters, marks and digits, or a character
+of a script that is written without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer, Tibetan) has to meet.
 
 Results: null and empty texts and items match nothing. Items that repeat are found under each of their ids; a
 text that stands in several rows in each. Null ids stay null. Columns beyond those named are ignored. Without items,
@@ -26,6 +29,8 @@ or with an empty table, nothing is found.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,7 +48,11 @@ BLOCK_BYTES = 128 << 10
 LEAST = 32
 _GRAM = 8
 _FILTER_BITS, _OWN_BITS = 22, 12
-_WINDOWS = 1 << 15
+#: Windows, and bytes of them, that are embedded at a time.
+_WINDOWS, _WINDOW_BYTES = 1 << 15, 1 << 22
+
+#: Thai, Lao, Tibetan, Burmese, Khmer, Tai scripts, ideographs and kana with their punctuation and wide forms.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u1950-\u1aaf\u2e80-\u312f\u31a0-\ua4cf\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff00-\uffef\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
@@ -81,8 +90,7 @@ class Index:
         sizes = defaultdict(list)
         for i, (_, t) in enumerate(self.items):
             size = 1 << (len(t).bit_length() - 1)
-            starts = [0, *(k + 1 for k in range(len(t)) if t[k] == 32)]
-            sizes[size] += [(i, s) for s in starts if s + size <= len(t)] + [(i, len(t) - size)]
+            sizes[size] += [(i, s) for s in self._starts(t, len(t) - size)]
         self.sizes = {}
         for size, windows in sorted(sizes.items()):
             owner, start = np.array(windows, np.int64).T
@@ -98,6 +106,18 @@ class Index:
             known[self._slot(np.concatenate([grams[i] for i in {*owner.tolist()}]))] = True
             self.sizes[size] = (tables, likely, known)
 
+    @staticmethod
+    def _starts(form: bytes, last: int) -> list[int]:
+        """Where windows of an item start, up to ``last``: at words, within them every few bytes, and as late as can be."""
+        out, late = [0], 0
+        for k in range(1, last + 1):
+            if form[k] == 32 or form[k] >> 6 == 2:
+                continue
+            late = k
+            if form[k - 1] == 32 or k - out[-1] >= _GRAM:
+                out.append(k)
+        return out if late <= out[-1] else [*out, late]
+
     @staticmethod
     def _codes(b: np.ndarray) -> np.ndarray:
         n = len(b) - _GRAM + 1
@@ -144,6 +164,8 @@ class Index:
         slots = self._slot(codes)
         few = slots >> (_FILTER_BITS - _OWN_BITS)
         for row, item, near, last in self._candidates(data, off, slots):
+            if seen.get((row, item)) == 0:
+                continue
             form = self.items[item][1]
             limit = int(EDITS * len(form))
             a, b = max(int(off[row]), near - limit), min(int(off[row + 1]), last + len(form) + limit)
@@ -159,43 +181,71 @@ class Index:
         for row in range(len(off) - 1) if self.short else ():
             text = data[off[row] : off[row + 1]].tobytes()
             for key, form in self.short:
-                if b" " + form + b" " in text:
+                if stands(form, text):
                     yield row, key, 0
 
     def _candidates(self, data: np.ndarray, off: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Distinct (row, item, first and last place where the item would start)."""
-        out: set[tuple[int, int, int]] = set()
         if not self.items or len(data) < _GRAM:
             return []
-        words = np.flatnonzero((data[:-1] == 32) & (data[1:] != 32)) + 1
-        row = np.searchsorted(off, words, "right") - 1
+        begins = (data != 32) & (data >> 6 != 2)
+        # A candidate as one number: row and item, then the place, which can be before the text's first byte.
+        before = max(len(form) for _, form in self.items)
+        span = len(data) + before
+        out = [np.zeros(0, np.int64)]
         for size, (tables, likely, grams) in self.sizes.items():
+            if size > len(data):
+                continue
             total = np.append(0, np.cumsum(grams[slots], dtype=np.int32))
-            fit = words + size <= off[row + 1]
-            starts, rows = words[fit], row[fit]
-            shared = total[np.minimum(starts + size - _GRAM + 1, len(slots))] - total[starts]
-            passed = shared >= size - (_GRAM - 1) - _GRAM * EDITS * size
-            starts, rows = starts[passed], rows[passed]
-            for i in range(0, len(starts), _WINDOWS):
-                here = starts[i : i + _WINDOWS]
-                keys = self.keys(data[here[:, None] + np.arange(size)])
+            shared = total[size - _GRAM + 1 :] - total[: len(data) - size + 1]
+            starts = np.flatnonzero((shared >= size - (_GRAM - 1) - _GRAM * EDITS * size) & begins[: len(shared)])
+            rows = np.searchsorted(off, starts, "right") - 1
+            fit = starts + size <= off[rows + 1]
+            starts, rows = starts[fit], rows[fit]
+            windows = np.lib.stride_tricks.sliding_window_view(data, size)
+            step = max(1, min(_WINDOWS, _WINDOW_BYTES // size))
+            for i in range(0, len(starts), step):
+                here, row = starts[i : i + step], rows[i : i + step]
+                keys = self.keys(windows[here])
                 hits = likely[self._slot(keys.ravel())].reshape(keys.shape)
                 for t, (table, owner, begin) in enumerate(tables):
                     at = np.flatnonzero(hits[:, t])
                     low, high = np.searchsorted(table, keys[at, t], "left"), np.searchsorted(table, keys[at, t], "right")
                     n = high - low
-                    which = np.repeat(np.arange(len(at)), n)
+                    which = np.repeat(at, n)
                     place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    near = here[at[which]] - begin[place]
-                    out.update(zip(rows[i : i + _WINDOWS][at[which]].tolist(), owner[place].tolist(), near.tolist(), strict=True))
+                    out.append(np.unique((row[which] * len(self.items) + owner[place]) * span + here[which] - begin[place] + before))
+        found = np.unique(np.concatenate(out))
+        if not len(found):
+            return []
         # One range each for what the same passage's windows say; no place is left out.
-        kept: list[tuple[int, int, int, int]] = []
-        for r, item, near in sorted(out):
-            if kept and (r, item) == kept[-1][:2] and near - kept[-1][3] <= max(_GRAM, int(EDITS * len(self.items[item][1]))):
-                kept[-1] = (r, item, kept[-1][2], near)
-            else:
-                kept.append((r, item, near, near))
-        return kept
+        pair, near = found // span, found % span - before
+        limits = np.array([max(_GRAM, int(EDITS * len(form))) for _, form in self.items])
+        first = np.flatnonzero(np.append(True, (np.diff(pair) != 0) | (np.diff(near) > limits[pair[1:] % len(self.items)])))
+        last = np.append(first[1:], len(found)) - 1
+        row, item = np.divmod(pair[first], len(self.items))
+        return list(zip(row.tolist(), item.tolist(), near[first].tolist(), near[last].tolist(), strict=True))
+
+
+def _spaced(c: str) -> bool:
+    """Whether ``c`` is part of a word of a script that sets words apart."""
+    return not _UNSPACED.match(c) and (unicodedata.category(c)[0] in "LMN" or c in "\u200c\u200d")
+
+
+def stands(form: bytes, text: bytes) -> bool:
+    """Whether ``form`` stands in ``text``, which starts and ends with a space, without cutting a word."""
+    if b" " + form + b" " in text:
+        return True
+    k = text.find(form)
+    if k >= 0:
+        item = form.decode(errors="replace")
+        head, tail = _spaced(item[0]), _spaced(item[-1])
+    while k >= 0:
+        before, after = text[max(0, k - 4) : k].decode(errors="ignore")[-1:], text[k + len(form) : k + len(form) + 4].decode(errors="ignore")[:1]
+        if not (head and before and _spaced(before)) and not (tail and after and _spaced(after)):
+            return True
+        k = text.find(form, k + 1)
+    return False
 
 
 def edits_inside(pattern: bytes, text: bytes) -> int:

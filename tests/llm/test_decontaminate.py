@@ -113,3 +113,33 @@ def test_exact_copies_at_every_offset():
         texts += [((size, offset), "a" * (offset + 8) + f" {text} " + " ".join(word() for _ in range(40))) for offset in range(16)]
     want = brute(texts, items)
     assert len(want) >= len(texts) and found(items, texts) == want
+
+
+def test_text_without_spaces():
+    """Items inside Chinese and Thai text and right after other text, exact and edited."""
+    rnd = random.Random(9)
+    scripts = [[chr(c) for c in range(0x4E00, 0x4F00)] + ["。", ",", "、"], [chr(c) for c in range(0x0E01, 0x0E2F)]]
+    some = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    items = [(i, some(scripts[i % 2], rnd.randrange(11, 120))) for i in range(60)]
+    texts = [(i, some(scripts[i % 2], rnd.randrange(1, 90)) + t + some(scripts[i % 2], 40)) for i, t in items]
+    want = brute(texts, items)
+    assert len(want) == 60 and found(items, texts) == want
+
+    edited = []
+    for i, t in items:
+        chars = list(t)
+        for _ in range(int(dc.EDITS * len(t.encode())) // 3):
+            chars[rnd.randrange(len(chars))] = rnd.choice(scripts[i % 2])
+        edited.append((i, some(scripts[i % 2], 50) + "".join(chars) + some(scripts[i % 2], 50)))
+    want, got = brute(edited, items), found(items, edited)
+    assert got.items() <= want.items() and len(want) > 50 and len(got) >= 0.95 * len(want)
+
+    words = [(size, " ".join(some("etaoinsh", rnd.randrange(2, 9)) for _ in range(size))[:size].rstrip().ljust(size, "e")) for size in (32, 33, 34, 65, 66, 129, 130, 200)]
+    glued = [(size, f"before it{t}after it") for size, t in words]
+    assert found(words, glued) == {(size, size): 0 for size, _ in words}
+
+
+def test_short_items_between_words():
+    items = [(1, "東京タワー"), (2, "short item"), (3, "ภาษาไทย"), (4, "café")]
+    texts = ["昨日は東京タワーに行った。", "a “short item”—here", "ashort item", "short itemé", "เรียนภาษาไทยทุกวัน", "cafés", "le café", "東京short item塔"]
+    assert {*found(items, list(enumerate(texts)))} == {(0, 1), (1, 2), (4, 3), (6, 4), (7, 2)}
