@@ -112,8 +112,8 @@ PHRASES = (
     ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors", "warranty"),
 )
 
-#: Some of these stand in every text that any rule or base phrase matches.
-GATES = ("licen", "spdx", "granted", "permission", "redistribut", "contributors", "unencumbered", "public domain", "copyright", "rights reserved", "warranty")
+#: Some of these stand in every text that any rule or base phrase matches. Each is within one word, as any separator can join words.
+GATES = ("licen", "spdx", "granted", "permission", "redistribut", "contributors", "unencumbered", "domain", "copyright", "reserved", "warranty")
 KEYWORD = "^(?:.*licen.*|spdx|granted|permission|redistribut.*|contributors|unencumbered|domain|copyright|reserved|warranty)$"
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"

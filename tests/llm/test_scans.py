@@ -62,6 +62,23 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 250
 
 
+def test_license_wrapped(spark):
+    """Words of a phrase can be joined by line ends and comment marks."""
+    texts = {
+        "/* Placed in the public\n * domain by its author. */": "public-domain",
+        "# released into the public  domain": "public-domain",
+        "// Dedicated to the\n// public\n// domain": "public-domain",
+        "All rights\nreserved.": "proprietary",
+        "-- All Rights\n-- Reserved": "proprietary",
+        "the domain of public life is reserved": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score > 0) for r in licenses.licenses(df).collect()}
+    assert got == {i: (label, label != "") for i, label in enumerate(texts.values())}
+    for _, pattern, *_ in licenses.rules():
+        assert any(g in pattern or g in pattern.replace("[cs]", "c") for g in licenses.GATES), pattern
+
+
 def test_secret_base(docs):
     assign = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
