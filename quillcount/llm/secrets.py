@@ -1,12 +1,14 @@
 """Secret scan: fixed patterns, and novelty under a primed compressor.
 
 Base kinds are found by pattern: assign (a named secret given a value), access (a cloud access key id) and hex (a
-long run of hex digits). The method's own kind, novel, looks at every other long unbroken run of key characters
-that stands within ``CONTEXT`` characters after a word of sensitive meaning. Its novelty is what it adds to the
+long run of hex digits). The method's own kind, novel, looks at every other long unbroken run of key characters,
+letters alone excepted, that stands within ``CONTEXT`` characters after a word of sensitive meaning. Its novelty is what it adds to the
 size of a zstandard frame: size(around + run) - size(around), in bits for each character, under a dictionary
 primed with common identifiers and words. Text that repeats its surroundings, or that is spelled from
 identifiers, costs little; random keys cost near six bits a character. Runs of ``NOVEL_BITS`` or more are
-reported.
+reported. Runs of letters alone are not looked at, however novel: long words that the primer lacks cost as much as
+random letters ("Geschwindigkeitsbegrenzung" 8.3 bits, "qzvkxwmtplrhbncd" 8.0), so no threshold tells them apart.
+A key of letters alone that no base pattern covers is neither reported nor redacted.
 
 Results: a null text is an empty text, without spans. Positions are code points, the end is exclusive. Spans of
 one kind don't overlap; spans of different kinds may. A novel run that lies inside a base span is not reported
