@@ -14,7 +14,8 @@ only the prefix that the edit needs is shuffled to its user.
 
 Results: a null text is an empty text. A text without terms has the empty fingerprint; two of them are alike
 (1), one and any other are not (0). doc_ids that stand in several rows are ordered by a hash of their text;
-rows that repeat both count as one document, and each of them gets the result. A single document is its own
+rows that repeat both count as one document, and each of them gets the result. Rows with a null doc_id have no place
+in the order and give no result row, so the result has fewer rows than such a table. A single document is its own
 next. An empty table gives an empty result. Columns beyond doc_id and text are ignored.
 """
 
