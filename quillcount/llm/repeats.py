@@ -9,8 +9,8 @@ earlier start). The corpus is cut into shards such that all equal windows meet i
    others are repeats. A gram with many different regions in one task is dealt over all buckets.
 2. In its bucket the first of each region's occurrences stays, the others are repeats. Regions whose gram has
    other regions too, the edges of copies, are asked for.
-3. The regions asked for are cut out of the texts and dealt to shards by gram; each shard is sorted by external
-   induced sorting (suffix_sort.py); suffixes with WINDOW bytes in common are one string, of which the first
+3. The regions asked for are cut out of the texts and dealt to shards by gram; each shard, which is held in memory,
+   is sorted by induced sorting (suffix_sort.py), whose queues are too short there to spill; suffixes with WINDOW bytes in common are one string, of which the first
    occurrence stays. A gram with over ``HOT_REGIONS`` regions would be one unbounded shard: its windows are compared
    by a shuffle on their 128-bit hashes.
 4. Each document's repeats are merged and cut out.

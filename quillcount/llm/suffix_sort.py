@@ -10,7 +10,8 @@ passed since that queue's last entry.
 A symbol's queue receives its entries in their final order, so the priority queue of all (symbol, rank) tuples
 is one first-in-first-out queue for each symbol. ``Spool`` keeps them: beyond ``memory_entries`` their blocks go to
 a scratch file, which is a task's own and ends with it, as a sort's spill does; a repeated task begins anew.
-Nothing here loops over entries: each step handles all entries that a queue holds.
+Nothing here loops over entries: each step handles all entries that a queue holds. Text, left suffixes and the
+result are arrays in memory at all times; only the queues spill.
 """
 
 from __future__ import annotations
