@@ -15,7 +15,8 @@ many numbers as domains and pairs of domains, reach the driver. The result appli
 Tokens are words, runs of bytes beyond white space. Results: a null or empty text has no tokens, the domains'
 shares of the labelled words as posteriors and a rate like any other. A domain that the targets don't name has
 the target 0. A target whose domain no posterior reaches can't be met; the rates are then the best found.
-Without any labelled row there is no domain: every rate is 1 and the domain null. Null labels are not learned.
+More than ``MOST_DOMAINS`` values of the label are a ValueError: nothing is left out or put together
+silently. Without any labelled row there is no domain: every rate is 1 and the domain null. Null labels are not learned.
 Columns beyond doc_id, text and the label are kept by ``mixed`` and used by nothing.
 """
 
