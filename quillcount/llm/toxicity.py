@@ -1,12 +1,16 @@
 """Counterfactually regularised toxicity classifier.
 
-Features are the hashed words of a text and the hashed beginnings of its words. Over all labelled training rows
-each feature's document counts by label are summed; the ``FEATURES`` ones that separate the labels best are
-the vocabulary. A logistic model over them is fitted by gradient descent on a bounded sample of the labelled
-rows (``SAMPLE_ROWS`` in expectation, chosen by a hash of doc_id). Every labelled text with an identity term
-also gives counterfactual texts, in which the term is swapped for the next one of its group; the loss has a
-penalty on the squared change of the score that the swap causes, so that a mere mention of a group doesn't
-raise the score. Identity terms are always in the vocabulary, that the penalty can act on them.
+Features are the hashed words of a text and the hashed beginnings of its words. A bounded sample of the labelled
+training rows (``SAMPLE_ROWS``, chosen by a hash of doc_id) fits the model: the ``FEATURES`` features that separate its
+labels best are the vocabulary, a logistic model over them is fitted by gradient descent. Every sampled text also gives
+counterfactual texts, word sequences in which an identity term is swapped for each other term of its group; a text
+that holds no term gets one in the place of one of its words, the group's neutral word first, and swaps start from
+there, so the penalty acts whatever the labelled texts happen to mention. The loss has a penalty on the squared change
+of the score that a swap causes: a mere mention of a group scores like the neutral word. Identity terms are
+always in the vocabulary, that the penalty can act on them.
+
+Sampled labels go to the texts (a broadcast of at most ``SAMPLE_ROWS`` short rows), not texts to labels: no text is
+shuffled. The sampled rows are staged once.
 
 Results: a null or empty text gets the score of a text without any feature, the model's base rate. A training
 table with one label only, or none, gives a constant score. Labels that are null are not learned from; several
@@ -16,6 +20,8 @@ held out. Other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .staging import staged
 
 FEATURES = 4096
 SAMPLE_ROWS = 20_000
@@ -35,27 +42,26 @@ STEPS, RATE = 300, 0.05
 PREFIXES = (2, 3, 4, 5, 6, 8)
 THRESHOLD = 0.3
 
-# Identity terms, by group; a counterfactual swaps a term for the next of its group.
-IDENTITY_TERMS = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("girls", "boys"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("old", "young"),
-    ("immigrants", "natives"),
-    ("deaf", "blind", "disabled"),
+# Identity terms, by group, in the languages of the corpus; the first word of a group is its neutral one.
+IDENTITY_TERMS = tuple(
+    tuple(group.split())
+    for group in (
+        "people women men girls boys immigrants refugees foreigners natives muslims christians jews hindus buddhists atheists africans asians europeans arabs turks mexicans lesbians",
+        "person woman man girl boy immigrant refugee foreigner native",
+        "local black white asian latino arab african european turkish mexican muslim christian jewish hindu buddhist atheist gay straight lesbian bisexual transgender old young deaf blind disabled",
+        "menschen frauen männer mädchen jungen migranten flüchtlinge ausländer muslime christen juden hindus buddhisten atheisten afrikaner asiaten araber türken schwule lesben behinderte",
+        "mensch frau mann migrant flüchtling muslim christ jude türke araber",
+        "hiesige schwarze weiße asiatische arabische afrikanische türkische muslimische christliche jüdische schwule lesbische alte junge gehörlose blinde behinderte",
+        "gens femmes hommes filles garçons immigrés réfugiés étrangers musulmans chrétiens juifs hindous bouddhistes athées africains asiatiques arabes turcs homosexuels handicapés",
+        "personne femme homme fille garçon immigré réfugié musulman chrétien juif",
+        "personas mujeres hombres niñas niños inmigrantes refugiados extranjeros musulmanes cristianos judíos hindúes budistas ateos africanos asiáticos árabes turcos homosexuales gitanos",
+        "persona mujer hombre niña niño inmigrante refugiado musulmán cristiano judío",
+    )
 )
 
 WORD = scan.byte_class(b"'", (48, 57), (65, 90), (97, 122), (128, 255))
 
 
-_TERMS = [w for group in IDENTITY_TERMS for w in group]
-_NEXT = [w for group in IDENTITY_TERMS for w in (*group[1:], group[0])]
-
-
 def features(column: pa.Array) -> Iterator[np.ndarray]:
     """For each row, the sorted distinct feature hashes of its text."""
     for _, _, data, off in scan.slices(column):
@@ -75,10 +81,51 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(h[a:b])
 
 
-#: The features of each identity term, and of the term that it is swapped for; a term's first feature is its word.
-_FEATURES = dict(zip(_TERMS, features(pa.array(_TERMS)), strict=True))
-_WORDS = {w: scan.range_hash(scan.prefix_hash(np.frombuffer(w.encode(), np.uint8), scan.FOLDED_CODES), np.array([0]), np.array([len(w)]))[0] for w in _TERMS}
-TERM_FEATURES = np.unique(np.concatenate([*_FEATURES.values()]))
+_GROUPS = tuple(tuple(w.encode() for w in group) for group in IDENTITY_TERMS)
+#: The words that each term is swapped for.
+_OTHERS = {w: tuple(dict.fromkeys(x for g in _GROUPS if w in g for x in g if x != w)) for group in _GROUPS for w in group}
+
+
+def _keys(word: bytes) -> set[bytes]:
+    """A word's features by name: itself between bars, and its beginnings."""
+    return {b"|" + word + b"|"} | {word[:n] for n in PREFIXES if len(word) > n}
+
+
+_KEYS = {w: _keys(w) for w in _OTHERS}
+
+
+def _hash_of(key: bytes) -> int:
+    whole = key[:1] == b"|"
+    raw = np.frombuffer(key.strip(b"|"), np.uint8)
+    h = scan.range_hash(scan.prefix_hash(raw, scan.FOLDED_CODES), np.array([0]), np.array([len(raw)]))[0]
+    return int(h if whole else h ^ np.uint64(len(raw)))
+
+
+#: The hash of each feature of an identity term.
+KEY_HASHES = {key: _hash_of(key) for keys in _KEYS.values() for key in keys}
+TERM_FEATURES = np.unique(np.array([*KEY_HASHES.values()], np.uint64))
+_TOKEN = re.compile(rb"['0-9A-Za-z\x80-\xff]+")
+
+
+def swaps(text: str) -> Iterator[tuple[set[bytes], set[bytes]]]:
+    """Of each counterfactual of a text: the features only the text has, and those only the swapped text has.
+
+    Every term of the text is swapped, in all its places, for each other term of its groups. In a text without a
+    term, a word chosen by the text's checksum first gives way to a group's neutral word.
+    """
+    raw = text.encode()
+    words = [w.lower() for w in _TOKEN.findall(raw)]
+    there = [w for w in dict.fromkeys(words) if w in _OTHERS]
+    if words and not there:
+        pick = zlib.crc32(raw)
+        group = _GROUPS[pick % len(_GROUPS)]
+        words[pick // len(_GROUPS) % len(words)] = group[0]
+        there = [group[0]]
+    distinct = {*words}
+    for term in there:
+        kept = {key for w in distinct if w != term for key in _keys(w)}
+        for other in _OTHERS[term]:
+            yield _KEYS[term] - kept - _KEYS[other], _KEYS[other] - kept - _KEYS[term]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,73 +162,108 @@ def training_share(docs: DataFrame) -> DataFrame:
     return docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
 
 
-def _swapped(found: np.ndarray) -> list[np.ndarray]:
-    """Counterfactual feature sets: one identity term of the text swapped for the next of its group."""
-    there = {*found.tolist()}
-    return [np.union1d(np.setdiff1d(found, _FEATURES[a]), _FEATURES[b]) for a, b in zip(_TERMS, _NEXT, strict=True) if int(_WORDS[a]) in there]
-
-
-def _descend(rows: list[np.ndarray], labels: np.ndarray, vocabulary: np.ndarray) -> Model:
-    """Full-batch gradient descent (Adam's steps) on sparse rows; swaps act through their differences."""
-    lookup = {h: i for i, h in enumerate(vocabulary.tolist())}
-    index = lambda found: [lookup[h] for h in found.tolist() if h in lookup]
-    cols = [index(f) for f in rows]
-    r, c = np.repeat(np.arange(len(rows)), [len(x) for x in cols]), np.array([i for x in cols for i in x], np.int64)
-    diffs = []
-    for f, x in zip(rows, cols, strict=True):
-        for other in _swapped(f):
-            y = index(other)
-            diffs.append(({*x} - {*y}, {*y} - {*x}))
-    dr = np.repeat(np.arange(len(diffs)), [len(p) + len(m) for p, m in diffs])
-    dc = np.array([i for p, m in diffs for i in (*p, *m)], np.int64)
-    ds = np.array([s for p, m in diffs for s in (*[1.0] * len(p), *[-1.0] * len(m))])
-    n, v = len(rows), len(vocabulary)
-    base = (labels.sum() + 0.5) / (n + 1)
-    w = np.append(np.zeros(v), np.log(base / (1 - base)))  # the last is the bias
+@dataclass
+class Problem:
+    """Sampled rows and distinct swaps as sparse matrices: entry i stands in row ``rows[i]`` and column ``cols[i]``.
+
+    ``weights`` are the shares of the swaps, whose entries have ``signs``. The last of the parameters is the bias.
+    """
+
+    rows: np.ndarray
+    cols: np.ndarray
+    labels: np.ndarray
+    swap_rows: np.ndarray
+    swap_cols: np.ndarray
+    signs: np.ndarray
+    weights: np.ndarray
+    penalty: float = SWAP_PENALTY
+
+    def loss(self, w: np.ndarray) -> float:
+        z = w[-1] + np.bincount(self.rows, w[self.cols], len(self.labels))
+        change = np.bincount(self.swap_rows, self.signs * w[self.swap_cols], len(self.weights))
+        return float((np.logaddexp(0, z) - self.labels * z).mean() + RIDGE / 2 * (w[:-1] ** 2).sum() + self.penalty / 2 * (self.weights * change**2).sum())
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        n, v = len(self.labels), len(w) - 1
+        p = 1 / (1 + np.exp(-np.clip(w[v] + np.bincount(self.rows, w[self.cols], n), -30, 30)))
+        error = (p - self.labels) / n
+        g = np.append(np.bincount(self.cols, error[self.rows], v) + RIDGE * w[:v], error.sum())
+        if len(self.weights):
+            change = self.weights * np.bincount(self.swap_rows, self.signs * w[self.swap_cols], len(self.weights))
+            g[:v] += self.penalty * np.bincount(self.swap_cols, self.signs * change[self.swap_rows], v)
+        return g
+
+
+def _descend(problem: Problem, vocabulary: np.ndarray) -> Model:
+    """Full-batch gradient descent with Adam's steps."""
+    v = len(vocabulary)
+    base = (problem.labels.sum() + 0.5) / (len(problem.labels) + 1)
+    w = np.append(np.zeros(v), np.log(base / (1 - base)))
     speed, square = np.zeros(v + 1), np.zeros(v + 1)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(w[v] + np.bincount(r, w[c], n), -30, 30)))
-        error = (p - labels) / n
-        g = np.append(np.bincount(c, error[r], v) + RIDGE * w[:v], error.sum())
-        if len(diffs):
-            change = np.bincount(dr, ds * w[dc], len(diffs))
-            g[:v] += SWAP_PENALTY * np.bincount(dc, ds * change[dr], v) / len(diffs)
+        g = problem.gradient(w)
         speed, square = 0.9 * speed + 0.1 * g, 0.999 * square + 0.001 * g * g
         w -= RATE * (speed / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return Model(vocabulary, w[:v], float(w[v]))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def _constant(ones: int, zeros: int) -> Model:
+    share = min(max((ones + 0.5) / (ones + zeros + 1), 1e-3), 1 - 1e-3)
+    return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+
+
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Staged (text, label): ``SAMPLE_ROWS`` labelled rows of the training share at most, those of the smallest hashes.
+
+    doc_ids that stand in many rows are thinned by a hash of the text, to as many rows in expectation.
+    """
+    known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("long").alias("label"))
+    few = training_share(known).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE_ROWS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = staged(texts.join(F.broadcast(few), "doc_id").select("text", "label"), "labelled")
+    n = rows.count()
+    if n <= 2 * SAMPLE_ROWS:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(SAMPLE_ROWS / n * (1 << 30)))
+
+
+def problem_of(rows: DataFrame, vocabulary: np.ndarray, penalty: float = SWAP_PENALTY) -> Problem:
+    """The optimisation problem of sampled rows (text, label) over a sorted vocabulary that holds all term features."""
+    at = {key: int(np.searchsorted(vocabulary, np.uint64(h))) + 1 for key, h in KEY_HASHES.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.searchsorted(vocabulary, np.intersect1d(f, vocabulary, assume_unique=True)) for f in features(batch.column(0))]
+            pairs = [[sorted([at[k] for k in gone] + [-at[k] for k in new]) for gone, new in swaps(text.as_py())] for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.list_(pa.int32())))], names=["label", "features", "pairs"])
+
+    coded = staged(rows.mapInArrow(run, "label long, features array<int>, pairs array<array<int>>"), "coded")
+    table = coded.select("label", "features").toArrow()
+    # Equal swaps are one row with their number; there are as many as terms and carried beginnings make different.
+    changes = coded.select(F.explode("pairs").alias("pair")).filter(F.size("pair") > 0).groupBy("pair").count().toArrow()
+    lists = table.column("features").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    pairs = changes.column("pair").combine_chunks()
+    signed = np.asarray(pairs.values, np.int64)
+    n = changes.column("count").to_numpy().astype(float)
+    return Problem(
+        np.repeat(np.arange(len(size)), size), np.asarray(lists.values, np.int64), table.column("label").to_numpy().astype(float),
+        np.repeat(np.arange(len(n)), np.diff(pairs.offsets.to_numpy())), np.abs(signed) - 1, np.sign(signed).astype(float), n / max(n.sum(), 1), penalty,
+    )
+
+
+def train(docs: DataFrame, labels: DataFrame, penalty: float = SWAP_PENALTY) -> Model:
     """Learn labels.toxic from the texts of the training share of ``docs``."""
-    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") != 0).cast("long").alias("label"))
-    rows = training_share(docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")).join(known.hint("merge"), "doc_id").select("doc_id", "text", "label")
-    # The same plan at every size: labels grow with the documents, so they are never broadcast.
-    size = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    n = sum(size.values())
+    rows = _sample(docs, labels)
+    size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not size.get(0) or not size.get(1):
-        share = min(max((size.get(1, 0) + 0.5) / (n + 1), 1e-3), 1 - 1e-3)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    counts = rows.select("text", "label").mapInArrow(_counts, "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+        return _constant(size.get(1, 0), size.get(0, 0))
+    counts = rows.mapInArrow(_counts, "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     odds = F.log((F.col("ones") + 0.5) / (F.lit(size[1]) + 1 - F.col("ones"))) - F.log((F.col("zeros") + 0.5) / (F.lit(size[0]) + 1 - F.col("zeros")))
     spread = F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("zeros") + 0.5))
     best = counts.withColumn("z", F.abs(odds / spread)).orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()
     vocabulary = np.unique(np.concatenate([np.array([r[0] for r in best], np.int64).view(np.uint64), TERM_FEATURES]))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))
-    kept = vocabulary.copy()
-
-    def only_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [scan.int64(np.intersect1d(f, kept, assume_unique=True)).to_pylist() for f in features(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["label", "features"])
-
-    sample = rows.filter(part).select("text", "label").mapInArrow(only_known, "label long, features array<long>").toArrow()
-    offsets, values = sample.column("features").combine_chunks(), None
-    values = np.array(offsets.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-    at = offsets.offsets.to_numpy()
-    order = np.argsort(np.array(sample.column("label").to_numpy()), kind="stable")
-    if not len(order):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((size[1] + 0.5) / (size[0] + 0.5))))
-    return _descend([values[at[i] : at[i + 1]] for i in order], sample.column("label").to_numpy()[order].astype(float), vocabulary)
+    return _descend(problem_of(rows, vocabulary, penalty), vocabulary)
 
 
 def scorer(model: Model):

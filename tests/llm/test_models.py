@@ -58,3 +58,58 @@ def test_language_edges(edge_docs, no_docs):
     assert {out[i].lang_pred for i in (0, 1, 2, 3, 10, 13)} == {"und"} and all(0 <= r.score <= 1 for r in out.values())
     assert {r.lang_pred for r in language.language_id(edge_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.language_id(no_docs).collect() == []
+
+
+def _neutral_gap(spark, model):
+    """The largest difference of scores between mentions of groups and of nobody in particular, in two languages."""
+    frames = [("today {} came to the market and bought bread", "people women men muslims jews christians refugees".split()), ("heute kamen {} auf den markt und kauften brot", "menschen frauen juden muslime türken".split())]
+    rows = [(i * 100 + j, t.format(w)) for i, (t, words) in enumerate(frames) for j, w in enumerate(words)]
+    got = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    return max(abs(s - got[d // 100 * 100]) for d, s in got.items())
+
+
+def test_penalty_is_active(spark):
+    """No text of the tables names a group; planted terms make the penalty act, and it narrows the gap of biased labels."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = toxicity._sample(docs, labels)
+    problem = toxicity.problem_of(rows, toxicity.TERM_FEATURES)
+    assert len(problem.weights) > 100 and abs(problem.weights.sum() - 1) < 1e-9 and len({*problem.swap_cols.tolist()}) > 300
+    # Toxic texts name groups more often than others do: the bias that a corpus brings along.
+    terms = "muslims jews refugees muslime juden women".split()
+    biased = [(i, ("you vile rotten idiot " if i % 2 else "what a sunny calm morning ") + (terms[i % 6] if i % 2 or i % 5 == 0 else "people") + f" number {i % 9}") for i in range(1200)]
+    more = spark.createDataFrame(biased, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(1200)], "doc_id long, toxic int")
+    with_penalty, without = (_neutral_gap(spark, toxicity.train(more, known, p)) for p in (toxicity.SWAP_PENALTY, 0.0))
+    assert with_penalty < 0.5 * without and with_penalty < 0.15
+
+
+def test_gradient(spark):
+    """The gradient against differences of the loss, at random weights."""
+    import numpy as np
+
+    rows = spark.createDataFrame([("bad women here", 1), ("nice men there", 0), ("les femmes et les musulmans", 0), ("nothing at all", 1), ("", 0)], "text string, label long")
+    vocabulary = np.unique(np.concatenate([toxicity.TERM_FEATURES, *toxicity.features(__import__("pyarrow").array(["bad nice here there nothing"]))]))
+    problem = toxicity.problem_of(rows, vocabulary, 3.0)
+    w = np.random.default_rng(4).normal(size=len(vocabulary) + 1)
+    g, step = problem.gradient(w), 1e-5
+    used = np.unique(np.concatenate([problem.cols, problem.swap_cols, [len(vocabulary)]]))
+    for i in used[:: max(1, len(used) // 60)].tolist() + [len(vocabulary)]:
+        e = np.zeros(len(w))
+        e[i] = step
+        assert abs((problem.loss(w + e) - problem.loss(w - e)) / (2 * step) - g[i]) < 1e-6
+
+
+def test_swaps_change_the_word_sequence():
+    """Features that other words carry stay; every other term of the group is tried."""
+    import pyarrow as pa
+
+    for text in ("the women were wonderful", "Juden und Judentum", "nothing to swap in this sentence", "gay men and gay women"):
+        pairs = list(toxicity.swaps(text))
+        assert pairs
+        if "women were" in text:
+            by_hand = [next(toxicity.features(pa.array([text.replace("women", w)]))) for w in toxicity.IDENTITY_TERMS[0] if w != "women"]
+            mine = next(toxicity.features(pa.array([text])))
+            for (gone, new), other in zip(pairs, by_hand, strict=True):
+                assert {toxicity.KEY_HASHES[k] for k in gone} == {*mine.tolist()} - {*other.tolist()}
+                assert {toxicity.KEY_HASHES[k] for k in new} == {*other.tolist()} - {*mine.tolist()}
+    assert list(toxicity.swaps("")) == [] == list(toxicity.swaps("... !"))
