@@ -122,3 +122,60 @@ def test_edges(edge_docs, no_docs):
         assert {r.doc_id for r in scan(edge_docs).collect()} == set(range(edge_docs.count()))
         assert scan(no_docs).collect() == []
     assert secrets.redact_secrets(edge_docs).columns == edge_docs.columns
+
+
+def _probes():
+    """Identifiers of the standard library, and random keys, each with whether it is of the half for fitting."""
+    import importlib
+    import random
+    import zlib
+
+    modules = "os socket ssl http.client http.server urllib.request email.message logging asyncio threading subprocess unittest sqlite3 tarfile argparse ast inspect datetime locale xml.dom.minidom smtplib signal stat errno".split()
+    names = set()
+    for m in map(importlib.import_module, modules):
+        names |= {*dir(m)} | {k for n in dir(m) for k in dir(getattr(m, n, None))}
+    names = sorted(n for n in names if len(n) >= secrets.MIN_RUN and not n.isalpha() and n.isascii())
+    rnd, letters = random.Random(1), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = (letters, letters + "+/", letters + "-_", letters[:26] + "234567", letters[26:], "0123456789ABCDEF")
+    keys = ["".join(rnd.choices(a, k=n)) for n in (16, 20, 22, 24, 32, 40, 64) for a in alphabets for _ in range(25)]
+    half = lambda s: zlib.crc32(s.encode()) % 2 == 0
+    return [(n, half(n), False) for n in names] + [(k, half(k), True) for k in keys if not k.isalpha()]
+
+
+def test_secret_threshold():
+    """Fitted on one half; on the other, precision and recall as the README states them."""
+    make = secrets._compressor()
+    cost = [(secrets.novelty(s, "the bearer credential  is here", make), fit, key) for s, fit, key in _probes()]
+
+    def rates(threshold, fit):
+        mine = [(c >= threshold, key) for c, f, key in cost if f is fit]
+        hit = sum(a and k for a, k in mine)
+        return hit / max(sum(a for a, _ in mine), 1), hit / sum(k for _, k in mine)
+
+    best = max((sum(rates(t / 10, True)), -abs(t / 10 - 5.8)) for t in range(30, 90))
+    assert sum(rates(secrets.NOVEL_BITS, True)) > best[0] - 0.005
+    precision, recall = rates(secrets.NOVEL_BITS, False)
+    assert precision > 0.98 and recall > 0.98
+
+
+@pytest.mark.parametrize("plain", ["user_session_cookie_2024_backup", "authorization_header_value_for_internal_service_v2", "TestConfigurationLoaderFactory2", "/usr/local/share/example/path1", "authorization_header_value"])
+def test_identifiers_are_no_secrets(plain):
+    text = f"the bearer credential {plain} is here"
+    assert secrets.find(text, secrets._compressor()) == ([], []) and secrets.redact(text, secrets._compressor()) == text
+
+
+def test_spans_of_the_method_are_by_brute_force(docs):
+    """Every run that the rules of the docstring name, tried one by one."""
+    make = secrets._compressor()
+    sensitive = re.compile(r"credential|authori[sz]ation|bearer|private.?key|access.?key|secret|token|passw|api.?key|signature|client.?id|session", re.A | re.I)
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs).collect()}
+    for r in docs.collect():
+        base = [tuple(map(int, s.split(":")[1:])) for s in got[r.doc_id].split(",") if s and not s.startswith("novel")]
+        want = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", r.text):
+            a, b = m.span()
+            if b - a < secrets.MIN_RUN or m[0].isalpha() or not sensitive.search(r.text[max(0, a - secrets.CONTEXT) : a]) or any(x <= a and b <= y for x, y in base):
+                continue
+            if secrets.novelty(m[0], r.text[max(0, a - secrets.AROUND) : a] + r.text[b : b + secrets.AROUND], make) >= secrets.NOVEL_BITS:
+                want.add(f"novel:{a}:{b}")
+        assert {s for s in got[r.doc_id].split(",") if s.startswith("novel")} == want
