@@ -1,12 +1,11 @@
 """License scan by ordered signature rules. DataFrame functions only, one narrow pass without a shuffle.
 
-A text that holds none of ``GATES`` is done after one look for them. Of the others, the words around each
-keyword are joined by single spaces, and each rule whose own keyword stands in them is tried. A detection is the
-interval of words that a rule matches around the keyword. Intervals are resolved in one sweep in order of start:
-one that lies inside an interval of a rule of the same or a higher priority is suppressed. Priorities: 4 a tag
-(SPDX-License-Identifier), 3 a phrase of a license's own text, 2 a grant ("licensed under ..."), 1 a name.
-
-The rules are ``LICENSES`` x ``TEMPLATES`` and ``PHRASES``, written out by rules().
+The rules (license_rules.py) are hand-written patterns over lower-case words joined by single spaces. A text that
+holds none of ``GATES`` is done after one look for them. In the others, each rule one of whose own keywords stands in the
+text is run over the whole text, and each place it matches is a detection: the interval of words from its first to its
+last. Intervals are resolved in order of start: one that lies inside an interval of a rule of the same or a higher
+priority is suppressed. Priorities: 4 a tag (SPDX-License-Identifier), 3 a phrase of a license's own text, 2 a
+grant ("licensed under ..."), 1 a name. Of one rule's matches that overlap, the leftmost counts.
 
 Base: places where the words of a base phrase stand consecutively; their labels are always reported. Words are
 maximal runs of [0-9A-Za-z] and characters beyond U+007F, A-Z lower-cased.
@@ -17,158 +16,70 @@ last_word. Every row gives one row; columns beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words before and after a keyword that a rule can see.
-BEFORE, AFTER = 14, 30
+from .license_rules import GATE_WORDS, GATES, rules
 
 # Base phrases and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Label; name as a pattern over lower-case words; SPDX tag as words.
-LICENSES = (
-    ("mit", r"(?:the )?mit(?: expat)?", "mit"),
-    ("mit-0", r"mit no attribution", "mit 0"),
-    ("x11", r"x11", "x11"),
-    ("isc", r"isc", "isc"),
-    ("0bsd", r"(?:zero clause bsd|0bsd)", "0bsd"),
-    ("bsd-2-clause", r"(?:(?:2|two) clause bsd|simplified bsd|bsd (?:2|two) clause)", "bsd 2 clause"),
-    ("bsd-3-clause", r"(?:(?:3|three) clause bsd|new bsd|modified bsd|revised bsd|bsd (?:3|three) clause)", "bsd 3 clause"),
-    ("bsd-4-clause", r"(?:(?:4|four) clause bsd|original bsd|bsd (?:4|four) clause)", "bsd 4 clause"),
-    ("bsd", r"bsd(?: style)?", "bsd"),
-    ("apache-2.0", r"apache(?: software)?(?: license)? (?:version |v )?2(?: 0)?", "apache 2 0"),
-    ("apache-1.1", r"apache(?: software)?(?: license)? (?:version |v )?1 1", "apache 1 1"),
-    ("apache", r"apache(?: software)?", "apache"),
-    ("gpl-1.0", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?1(?: 0)?", "gpl 1 0"),
-    ("gpl-2.0", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?2(?: 0)?", "gpl 2 0"),
-    ("gpl-3.0", r"(?:gnu )?(?:gpl|general public license) ?(?:version |v ?)?3(?: 0)?", "gpl 3 0"),
-    ("gpl", r"(?:gnu )?(?:gpl|general public license)", "gpl"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license) ?(?:version |v ?)?2 1", "lgpl 2 1"),
-    ("lgpl-3.0", r"(?:gnu )?(?:lgpl|lesser general public license) ?(?:version |v ?)?3(?: 0)?", "lgpl 3 0"),
-    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license)", "lgpl"),
-    ("agpl-3.0", r"(?:gnu )?(?:agpl|affero general public license) ?(?:version |v ?)?3(?: 0)?", "agpl 3 0"),
-    ("agpl", r"(?:gnu )?(?:agpl|affero general public license)", "agpl"),
-    ("gfdl-1.3", r"(?:gnu )?(?:gfdl|free documentation license) ?(?:version |v ?)?1 3", "gfdl 1 3"),
-    ("gfdl", r"(?:gnu )?(?:gfdl|free documentation license)", "gfdl"),
-    ("mpl-1.1", r"(?:mpl|mozilla public license) ?(?:version |v ?)?1 1", "mpl 1 1"),
-    ("mpl-2.0", r"(?:mpl|mozilla public license) ?(?:version |v ?)?2(?: 0)?", "mpl 2 0"),
-    ("mpl", r"(?:mpl|mozilla public license)", "mpl"),
-    ("epl-1.0", r"(?:epl|eclipse public license) ?(?:version |v ?)?1(?: 0)?", "epl 1 0"),
-    ("epl-2.0", r"(?:epl|eclipse public license) ?(?:version |v ?)?2(?: 0)?", "epl 2 0"),
-    ("epl", r"(?:epl|eclipse public license)", "epl"),
-    ("cddl-1.0", r"(?:cddl|common development and distribution license)", "cddl 1 0"),
-    ("cpl-1.0", r"common public license", "cpl 1 0"),
-    ("eupl-1.2", r"(?:eupl|european union public licen[cs]e)", "eupl 1 2"),
-    ("artistic-2.0", r"artistic license 2(?: 0)?", "artistic 2 0"),
-    ("artistic", r"artistic", "artistic 1 0"),
-    ("bsl-1.0", r"boost software(?: license)?", "bsl 1 0"),
-    ("busl-1.1", r"business source(?: license)?(?: 1 1)?", "busl 1 1"),
-    ("sspl-1.0", r"server side public license", "sspl 1 0"),
-    ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("psf-2.0", r"python software foundation(?: license)?", "psf 2 0"),
-    ("php-3.01", r"php", "php 3 01"),
-    ("ruby", r"ruby", "ruby"),
-    ("postgresql", r"postgresql", "postgresql"),
-    ("openssl", r"openssl", "openssl"),
-    ("ncsa", r"(?:ncsa|university of illinois)", "ncsa"),
-    ("ofl-1.1", r"(?:ofl|sil open font license)", "ofl 1 1"),
-    ("odbl-1.0", r"(?:odbl|open database license)", "odbl 1 0"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "wtfpl"),
-    ("unlicense", r"unlicense", "unlicense"),
-    ("beerware", r"beer ?ware", "beerware"),
-    ("cc0-1.0", r"(?:cc0|creative commons zero)(?: 1 0)?", "cc0 1 0"),
-    *((f"cc-{a.replace(' ', '-')}{v and '-' + v.replace(' ', '.')}", rf"(?:cc|creative commons) {long}{v and f' (?:version )?{v}'}", f"cc {a} {v}".rstrip()) for a, long in (("by", "(?:by|attribution)"), ("by sa", "(?:by sa|attribution share ?alike)"), ("by nc", "(?:by nc|attribution non ?commercial)"), ("by nd", "(?:by nd|attribution no ?deriv(?:ative)?s?)"), ("by nc sa", "(?:by nc sa|attribution non ?commercial share ?alike)"), ("by nc nd", "(?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s?)")) for v in ("4 0", "3 0", "2 0", "")),
-)
-
-#: Pattern around a name, keyword, priority, score.
-TEMPLATES = (
-    (r"spdx license identifier {tag}", "spdx", 4, 1.0),
-    (r"licen[cs]ed? (?:is )?(?:under|by|with)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?", "licen", 2, 0.9),
-    (r"(?:released|distributed|available|provided|published) under(?: the)?(?: terms of)?(?: the)? {name} licen[cs]e", "licen", 2, 0.9),
-    (r"{name} licen[cs]e", "licen", 1, 0.7),
-    (r"licen[cs]e (?:is )?{name}", "licen", 1, 0.6),
-)
-
-# Phrases of licenses' own texts.
-PHRASES = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "granted"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission"),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification", "redistribution"),
-    ("bsd-3-clause", r"neither the name of .{{1,60}}? nor the names of its contributors", "contributors"),
-    ("apache-2.0", r"licensed under the apache license version 2 0 the license", "apache"),
-    ("gpl", r"free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute"),
-    ("gpl-2.0", r"gnu general public license .{{0,60}}?either version 2 of the license", "gnu"),
-    ("gpl-3.0", r"gnu general public license .{{0,60}}?either version 3 of the license", "gnu"),
-    ("lgpl", r"under the terms of the gnu lesser general public license", "lesser"),
-    ("agpl", r"under the terms of the gnu affero general public license", "affero"),
-    ("mpl-2.0", r"subject to the terms of the mozilla public license v 2 0", "mozilla"),
-    ("unlicense", r"free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", r"(?:released into|dedicated to|placed in) the public domain", "domain"),
-    ("cc0-1.0", r"waived all copyright and related or neighboring rights", "copyright"),
-    ("proprietary", r"all rights reserved(?: unauthori[sz]ed (?:copying|use))?", "reserved"),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors", "warranty"),
-)
-
-#: Some of these stand in every text that any rule or base phrase matches. Each is within one word, as any separator can join words.
-GATES = ("licen", "spdx", "granted", "permission", "redistribut", "contributors", "unencumbered", "domain", "copyright", "reserved", "warranty")
-KEYWORD = "^(?:.*licen.*|spdx|granted|permission|redistribut.*|contributors|unencumbered|domain|copyright|reserved|warranty)$"
-
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LEVELS = 5
-
-
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, pattern, keyword, priority, score), in order of priority."""
-    out = [(label, t.format(name=name, tag=tag), key, priority, score) for t, key, priority, score in TEMPLATES for label, name, tag in LICENSES]
-    out += [(label, p.replace("{{", "{").replace("}}", "}"), key, 3, 0.95) for label, p, key in PHRASES]
-    return sorted(((a, rf"\b{p}\b", k, n, s) for a, p, k, n, s in out), key=lambda r: -r[3])
+#: Marks of a match's first and last word; no word holds them.
+_FROM, _TO = "\x01", "\x02"
+_PRIORITIES, _BLOCK = 4, 64
 
 
 def _rule_array() -> Column:
-    return F.array(*(F.struct(F.lit(a).alias("label"), F.lit(p).alias("pattern"), F.lit(k).alias("key"), F.lit(n).alias("priority"), F.lit(s).alias("score")) for a, p, k, n, s in rules()))
+    """All rules as one literal."""
+    rows = [{"label": a, "pattern": p, "keys": k, "priority": n, "score": s} for a, p, k, n, s in rules()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,pattern:string,keys:array<string>,priority:int,score:double>>")
 
 
 _HIT = "struct<start:int,back:int,down:int,label:string,score:double>"
 
 
-def _hits(words: Column) -> Column:
-    """All detections, one array for each keyword place: (first word, -end, -priority, label, score)."""
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).rlike(KEYWORD))
+def _hits(said: Column, rule_array: Column) -> Column:
+    """All detections, one array for each rule that fires: (first word, -end, -priority, label, score).
 
-    def near(i: Column) -> Column:
-        first = F.greatest(i - BEFORE, F.lit(0))
-        return F.struct(i.alias("at"), first.alias("first"), F.array_join(F.slice(words, first + 1, F.lit(BEFORE + AFTER + 1)), " ").alias("said"))
+    A rule's matches are marked where they start and end, and the marks read off the words; one pass over the text.
+    """
+    fired = F.filter(rule_array, lambda r: F.exists(r["keys"], lambda k: F.contains(said, k)) & F.rlike(said, r["pattern"]))
 
-    def spaces(s: Column) -> Column:
-        return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    def found(r: Column) -> Column:
+        marked = F.split(F.regexp_replace(said, r["pattern"], F.lit(f"{_FROM}$0{_TO}")), " ")
+        places = F.filter(F.transform(marked, lambda w, i: F.struct(i.alias("at"), F.startswith(w, F.lit(_FROM)).alias("first"), F.endswith(w, F.lit(_TO)).alias("last"))), lambda x: x["first"] | x["last"])
+        starts, ends = F.filter(places, lambda x: x["first"]), F.filter(places, lambda x: x["last"])
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a["at"].alias("start"), (-(b["at"] + 1)).alias("back"), (-r["priority"]).alias("down"), r["label"].alias("label"), r["score"].alias("score")))
 
-    def at(p: Column) -> Column:
-        def hit(r: Column) -> Column:
-            match = F.regexp_substr(p["said"], r["pattern"])
-            start = p["first"] + spaces(F.substring(p["said"], F.lit(1), F.regexp_instr(p["said"], r["pattern"]) - 1))
-            return F.struct(start.alias("start"), (-(start + spaces(match) + 1)).alias("back"), (-r["priority"]).alias("down"), r["label"].alias("label"), r["score"].alias("score"))
+    return F.transform(fired, found)
 
-        fired = F.filter(F.col("rules"), lambda r: F.contains(p["said"], r["key"]) & F.rlike(p["said"], r["pattern"]))
-        return F.filter(F.transform(fired, hit), lambda h: (h["start"] <= p["at"]) & (-h["back"] > p["at"]))
 
-    return F.transform(F.transform(places, near), at)
+def _resolved(hits: Column) -> Column:
+    """Detections that lie inside none of the same or a higher priority; hits are sorted by start, -end, -priority.
 
+    A detection's containers stand before it. Hits are taken in blocks: what the blocks before reach is one maximum
+    for each block and priority, so the work grows with the number of hits times a block's size.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _BLOCK).cast("int")), lambda b: F.slice(hits, b * _BLOCK + 1, F.lit(_BLOCK)))
+    reach = lambda some, level: F.coalesce(F.array_max(F.transform(some, lambda h: F.when(h["down"] <= level, -h["back"]))), F.lit(-1))
+    tops = F.transform(blocks, lambda block: F.array(*(reach(block, -n) for n in range(1, _PRIORITIES + 1))))
+    zero = F.array_repeat(F.lit(-1), _PRIORITIES)
 
-def _resolved(hits: Column) -> Column:
-    """Detections that lie inside none of the same or a higher priority; hits are sorted by start, -end, -priority."""
-    zero = F.struct(F.array_repeat(F.lit(-1), _LEVELS).alias("reach"), F.array().cast(f"array<{_HIT}>").alias("out"))
+    def shown(block: Column, b: Column) -> Column:
+        before = F.aggregate(F.slice(tops, F.lit(1), b), zero, lambda acc, top: F.zip_with(acc, top, lambda x, y: F.greatest(x, y)))
+
+        def seen(h: Column, i: Column) -> Column:
+            earlier = F.exists(F.slice(block, F.lit(1), i), lambda o: (o["down"] <= h["down"]) & (o["back"] <= h["back"]))
+            return ~(earlier | (F.get(before, -h["down"] - 1) >= -h["back"]))
 
-    def step(acc: Column, h: Column) -> Column:
-        level, stop = -h["down"], -h["back"]
-        hidden = F.array_max(F.slice(acc["reach"], level + 1, F.lit(_LEVELS))) >= stop
-        reach = F.transform(acc["reach"], lambda r, i: F.when(i == level, F.greatest(r, stop)).otherwise(r))
-        return F.struct(reach.alias("reach"), F.when(hidden, acc["out"]).otherwise(F.concat(acc["out"], F.array(h))).alias("out"))
+        return F.filter(block, seen)
 
-    return F.aggregate(hits, zero, step, lambda acc: acc["out"])
+    return F.flatten(F.transform(blocks, shown))
 
 
 def _places(words: Column, phrase: list[str], label: str) -> Column:
@@ -186,21 +97,18 @@ def _places(words: Column, phrase: list[str], label: str) -> Column:
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    folded = F.lower("text")
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(folded, F.lit(g))
+    gate = F.rlike(F.lower("text"), F.lit(GATE_WORDS))
     out = out.select("*", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), gate.alias("gate"))
     words = F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
     out = out.select("doc_id", "n_words", F.when(F.col("gate") & (F.col("n_words") > 0), words).alias("words"))
 
-    w = F.col("words")
+    w, none = F.col("words"), F.array().cast(f"array<{_HIT}>")
     starts = [_places(w, phrase.split(), label) for phrase, label in BASE_PHRASES]
     base = F.when(w.isNotNull(), F.concat(*starts)).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
-    out = out.select("*", base.alias("base"), F.when(w.isNotNull(), _rule_array()).alias("rules"))
-    hits = F.when(w.isNotNull(), F.array_sort(F.array_distinct(F.flatten(_hits(w))))).otherwise(F.array().cast(f"array<{_HIT}>"))
+    out = out.select("doc_id", "n_words", base.alias("base"), F.when(w.isNotNull(), F.array_join(w, " ")).alias("said"))
+    hits = F.when(F.col("said").isNotNull(), F.array_sort(F.array_distinct(F.flatten(_hits(F.col("said"), _rule_array()))))).otherwise(none)
     out = out.select("doc_id", "n_words", "base", hits.alias("hits"))
-    out = out.select("doc_id", "n_words", "base", _resolved(F.col("hits")).alias("kept"))
+    out = out.select("doc_id", "n_words", "base", F.when(F.size("hits") > 0, _resolved(F.col("hits"))).otherwise(none).alias("kept"))
     base_labels = F.transform("base", lambda b: b["label"])
     best = F.array_max(F.concat(F.transform("kept", lambda h: h["score"]), F.when(F.size("base") > 0, F.array(F.lit(0.8))).otherwise(F.array().cast("array<double>"))))
     return out.select(

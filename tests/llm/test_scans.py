@@ -179,3 +179,45 @@ def test_spans_of_the_method_are_by_brute_force(docs):
             if secrets.novelty(m[0], r.text[max(0, a - secrets.AROUND) : a] + r.text[b : b + secrets.AROUND], make) >= secrets.NOVEL_BITS:
                 want.add(f"novel:{a}:{b}")
         assert {s for s in got[r.doc_id].split(",") if s.startswith("novel")} == want
+
+
+def test_license_notices(spark):
+    """Notices as people write them."""
+    texts = {
+        "Mozilla Public License Version 2.0": "mpl-2.0",
+        "This project uses the GNU GPL v3.": "gpl-3.0",
+        "GNU General Public License version 3": "gpl,gpl-3.0",
+        "Code: Apache 2.0. Docs: CC-BY-SA 4.0.": "apache-2.0,cc-by-sa-4.0",
+        "BSD 3-Clause License": "bsd-3-clause",
+        "under the GPLv2 or later": "gpl-2.0-or-later",
+        "GNU Lesser General Public License v2.1": "gpl,lgpl-2.1",
+        "Boost Software License - Version 1.0": "bsl-1.0",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Eclipse Public License 2.0 or, at your choice, the EUPL licence": "epl-2.0,eupl",
+        "If a copy of the MPL was not distributed with this file": "mpl-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "a license to kill, the driving licence and a beer in the domain": "",
+        "Lizenziert unter der MIT-Lizenz": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.licenses(df).collect()} == dict(enumerate(texts.values()))
+
+
+def test_license_resolution_by_brute_force(spark):
+    """Whole texts, also with more detections than a block holds, against plain loops over rules and intervals."""
+    import random
+
+    rnd = random.Random(8)
+    bits = ["GNU General Public License", "version 3", "licensed under the", "MIT License", "Apache", "2.0", "x", "word", "All rights reserved", "CC BY-NC 4.0", "SPDX-License-Identifier:", "GPL-2.0-only", "or any later version", "Mozilla Public License", "v2"]
+    texts = [" ".join(rnd.choices(bits, k=k)) for k in (5, 20, 60, 60, 700)]
+    got = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    base = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    compiled = [(label, re.compile(p), n, s) for label, p, _, n, s in licenses.rules()]
+    for i, t in enumerate(texts):
+        said = " ".join(re.findall("[0-9a-z]+", folded(t)))
+        hits = {(said.count(" ", 0, m.start()), said.count(" ", 0, m.end()) + 1, n, label, s) for label, p, n, s in compiled for m in p.finditer(said)}
+        kept = [h for h in hits if not any(o != h and o[0] <= h[0] and o[1] >= h[1] and o[2] >= h[2] and ((o[0], -o[1], -o[2], o[3]) < (h[0], -h[1], -h[2], h[3])) for o in hits)]
+        want = {h[3] for h in kept} | {label for p, label in base.items() if f" {p} " in f" {said} "}
+        assert got[i].labels == ",".join(sorted(want)), t
+        assert got[i].score == max([h[4] for h in kept] + [0.8] * (got[i].n_base > 0), default=0.0)
