@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import blocks, let
 from .license_rules import GATE_WORDS, GATES, rules
 
 # Base phrases and their labels.
@@ -31,7 +32,7 @@ WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Marks of a match's first and last word; no word holds them.
 _FROM, _TO = "\x01", "\x02"
-_PRIORITIES, _BLOCK = 4, 64
+_PRIORITIES = 4
 
 
 def _rule_array() -> Column:
@@ -65,21 +66,24 @@ def _resolved(hits: Column) -> Column:
     A detection's containers stand before it. Hits are taken in blocks: what the blocks before reach is one maximum
     for each block and priority, so the work grows with the number of hits times a block's size.
     """
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _BLOCK).cast("int")), lambda b: F.slice(hits, b * _BLOCK + 1, F.lit(_BLOCK)))
     reach = lambda some, level: F.coalesce(F.array_max(F.transform(some, lambda h: F.when(h["down"] <= level, -h["back"]))), F.lit(-1))
-    tops = F.transform(blocks, lambda block: F.array(*(reach(block, -n) for n in range(1, _PRIORITIES + 1))))
     zero = F.array_repeat(F.lit(-1), _PRIORITIES)
 
-    def shown(block: Column, b: Column) -> Column:
-        before = F.aggregate(F.slice(tops, F.lit(1), b), zero, lambda acc, top: F.zip_with(acc, top, lambda x, y: F.greatest(x, y)))
+    def topped(parts: Column) -> Column:
+        return F.struct(parts.alias("parts"), F.transform(parts, lambda block: F.array(*(reach(block, -n) for n in range(1, _PRIORITIES + 1)))).alias("tops"))
 
+    def shown(block: Column, before: Column) -> Column:
         def seen(h: Column, i: Column) -> Column:
             earlier = F.exists(F.slice(block, F.lit(1), i), lambda o: (o["down"] <= h["down"]) & (o["back"] <= h["back"]))
             return ~(earlier | (F.get(before, -h["down"] - 1) >= -h["back"]))
 
         return F.filter(block, seen)
 
-    return F.flatten(F.transform(blocks, shown))
+    def all_shown(x: Column) -> Column:
+        before = lambda b: F.aggregate(F.slice(x["tops"], F.lit(1), b), zero, lambda acc, top: F.zip_with(acc, top, lambda p, q: F.greatest(p, q)))
+        return F.flatten(F.transform(x["parts"], lambda block, b: let(before(b), lambda reached: shown(block, reached))))
+
+    return let(let(let(hits, blocks), topped), all_shown)
 
 
 def _places(words: Column, phrase: list[str], label: str) -> Column:

@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import blocks, let
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "aba")
 BASE = 4
 NEAR = 48
@@ -105,17 +107,27 @@ _SPAN = "struct<start:int,kind:int,stop:int,score:double>"
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """Array of (start, stop, match) of all matches, from the lengths of the matches and of the gaps before them."""
+    """Array of (start, stop, match) of all matches, from the lengths of the matches and of the gaps before them.
+
+    Lengths are summed in blocks, and blocks by their sums, so many matches cost no growing copies.
+    """
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,match:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
 
     def add(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         stop = start + F.length(p["match"])
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), p["match"].alias("match")))).alias("out"))
 
+    def placed(x: Column) -> Column:
+        begin = lambda b: F.aggregate(F.slice(x["sums"], F.lit(1), b), F.lit(0), lambda acc, n: acc + n)
+        return F.flatten(F.transform(x["blocks"], lambda block, b: F.aggregate(block, F.struct(begin(b).alias("at"), none.alias("out")), add, lambda acc: acc["out"])))
+
+    def summed(parts: Column) -> Column:
+        return F.struct(parts.alias("blocks"), F.transform(parts, lambda block: F.aggregate(block, F.lit(0), lambda acc, p: acc + p["gap"] + F.length(p["match"]))).alias("sums"))
+
     found = F.filter(pairs, lambda p: p["match"].isNotNull())
-    return F.aggregate(found, zero, add, lambda acc: acc["out"])
+    return let(let(let(found, blocks), summed), placed)
 
 
 def _spans(text: Column, kind: str) -> Column:
