@@ -3,13 +3,17 @@
 A stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents.
 
 1. toxicity: rows whose score reaches the threshold go.
-2. near_dedup: of each group of near duplicates (five words, similarity 0.8) the document of the smallest doc_id stays.
+2. near_dedup: of each group of near duplicates (five words, similarity 0.8) the row of the smallest doc_id stays.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets in text are replaced by [SECRET]; n_chars follows. No row goes.
 5. mixing: every row gets the rate at which its language's expected tokens come to an equal share.
 
 Null and empty texts pass every stage; a row with a null doc_id can't be a duplicate and stays. An empty table
 gives an empty result. Other columns of documents are carried along.
+
+A doc_id can stand in several rows. Every stage decides by row, by a row's own text: rows of one doc_id with different texts
+are different documents. Of rows that repeat doc_id and text one stays in near_dedup. Only labels belong to a doc_id: each of
+its rows is learned from with them.
 """
 
 from __future__ import annotations
@@ -25,8 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
