@@ -1,13 +1,14 @@
 """Document fingerprints by consistent weighted sampling. DataFrame functions only.
 
-A text's terms are its words, ASCII letters folded, weighted 1 + ln(count). For each of ``SAMPLES`` independent samples
+A text's terms are its words, in lower case (Unicode), weighted 1 + ln(count). For each of ``SAMPLES`` independent samples
 and each term, hashes of (term, sample) give r and c from Gamma(2, 1) and b from the unit interval; with
 t = floor(ln(weight) / r + b), a = c * exp(-r * (t - b + 1)), the sample is the (term, t) of the smallest a.
 Two texts agree in a sample with a probability of the sum of smaller weights over the sum of larger weights,
 the generalised Jaccard similarity s; the share of equal samples has a standard error of sqrt(s * (1 - s) / SAMPLES),
-0.10 at 0.5 and 0.08 at 0.8, and steps of 1 / SAMPLES. Each sample is kept as 24 bits of hash(term, t), the fingerprint as their
+0.06 at 0.5 and 0.05 at 0.8, and steps of 1 / SAMPLES. Each sample is kept as 24 bits of hash(term, t), the fingerprint as their
 hex digits. The order of a and the hash are packed in one long, so a sample is min() over longs: no row leaves
-its partition between its text and its fingerprint.
+its partition between its text and its fingerprint. A text and its edited text share most terms: a term that both
+have is one row, and one with equal counts in both is sampled once.
 
 The next document is found without a global window: the keys are range-partitioned, each takes its neighbour
 in its partition, and the edges of the partitions, one row each, meet in a small table. Of the next document
@@ -16,8 +17,8 @@ only the prefix that the edit needs is shuffled to its user.
 Results: a null text is an empty text. A text without terms has the empty fingerprint; two of them are alike
 (1), one and any other are not (0). doc_ids that stand in several rows are ordered by a hash of their text;
 rows that repeat both count as one document, and each of them gets the result. Rows with a null doc_id have no place
-in the order and give no result row, so the result has fewer rows than such a table. A single document is its own
-next. An empty table gives an empty result. Columns beyond doc_id and text are ignored.
+in the order: they get n_chars and their fingerprint, and null in the columns of the edited text and of likeness. A
+single document is its own next. An empty table gives an empty result. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import let
 from .staging import staged
 
-SAMPLES = 24
+SAMPLES = 64
 #: Samples that one row of (text, term) computes; more would make one generated method too large to compile well.
 TOGETHER = 4
 #: a, which is under 64, is kept to 2**-32, above the bits of the hash.
@@ -43,40 +45,78 @@ def _uniform(h: Column, part: int) -> Column:
     return (F.shiftrightunsigned(h, 21 * part).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / _UNIT
 
 
-def sample(term: Column, weight_log: Column, k: Column) -> Column:
-    """a and the hash of (term, t) of sample k, packed in a long whose order is that of a."""
-    g = F.xxhash64(term, k)
-    h = F.xxhash64(g)
-    r = -F.log(_uniform(g, 0) * _uniform(g, 1))
-    c = -F.log(_uniform(h, 0) * _uniform(h, 1))
-    b = _uniform(g, 2)
+def _pack(g: Column, r: Column, c: Column, b: Column, weight_log: Column) -> Column:
+    """a and the hash of (term, t) of a sample, packed in a long whose order is that of a; null without a weight."""
     t = F.floor(weight_log / r + b)
     order = F.floor(c * F.exp(r * (b - t - 1)) * _SCALE)
     # t is under 2**31, as r is over 2**-22: the product is no overflow.
     return F.shiftleft(order, _HASH_BITS).bitwiseOR(g.bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit(_HASH)))
 
 
-def _runs(hashes: Column, starts: Column) -> Column:
-    return F.transform(starts, lambda s, j: F.struct(F.get(hashes, s).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(hashes)) - s).alias("n")))
+def _runs(values: Column) -> Column:
+    """(value, number) of each run of equal values of a sorted array."""
 
+    def counted(x: Column) -> Column:
+        return F.transform(x["starts"], lambda s, j: F.struct(F.get(x["values"], s).alias("x"), (F.coalesce(F.get(x["starts"], j + 1), F.size(x["values"])) - s).alias("n")))
 
-def fingerprinted(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and fingerprint: one row for each distinct ``keys``, which have to tell the texts apart.
+    def started(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0))), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        return F.struct(v.alias("values"), starts.alias("starts"))
+
+    return let(let(values, started), counted)
+
+
+def _terms(text: Column, kind: int) -> Column:
+    """Hashes of a text's words, their last bit the kind; the empty word stands before and after borders."""
+    return F.transform(F.split(F.lower(text), _BORDER, -1), lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 1), 1) + kind)
+
+
+def _paired(runs: Column) -> Column:
+    """(term, n0, n1) from the runs of both kinds, in which a term's two kinds stand side by side."""
+
+    def pair(r: Column, i: Column) -> Column:
+        odd = r["x"].bitwiseAND(F.lit(1)) == 1
+        after, before = F.get(runs, i + 1), F.get(runs, i - 1)
+        other = F.when(after["x"] == r["x"] + 1, after["n"]).otherwise(0)
+        return F.struct(F.when(~(odd & F.coalesce(before["x"] == r["x"] - 1, F.lit(False))), F.shiftright(r["x"], 1)).alias("term"), F.when(odd, 0).otherwise(r["n"]).alias("n0"), F.when(odd, r["n"]).otherwise(other).alias("n1"))
+
+    return F.filter(F.transform(runs, pair), lambda p: p["term"].isNotNull())
+
+
+def _printed(texts: DataFrame, keys: list[str], first: str, second: str | None) -> DataFrame:
+    """keys and the fingerprints p0 of ``first`` and p1 of ``second``: one row for each distinct ``keys``.
 
     Where ``texts`` is hash-partitioned by some of the keys already, nothing is shuffled.
     """
-    rows = texts.select(*keys, F.sort_array(F.transform(F.split(F.lower(text), _BORDER, -1), lambda w: F.xxhash64(w))).alias("hashes"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: (i == 0) | (F.get("hashes", i) != F.get("hashes", i - 1)))
-    rows = rows.select(*keys, "hashes", starts.alias("starts"))
-    rows = rows.select(*keys, F.explode(_runs(F.col("hashes"), F.col("starts"))).alias("x"))
-    blank = F.col("x.term") == F.xxhash64(F.lit(""))
-    rows = rows.select(*keys, F.when(~blank, F.col("x.term")).alias("term"), F.log(1.0 + F.log(F.col("x.n").cast("double"))).alias("w"))
-    rows = rows.select(*keys, "term", "w", F.explode(F.array(*map(F.lit, range(0, SAMPLES, TOGETHER)))).alias("k"))
-    mins = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("w"), F.col("k") + j))).alias(f"m{j}") for j in range(TOGETHER)]
-    digits = [F.lpad(F.lower(F.hex(F.col(f"m{j}").bitwiseAND(F.lit(_HASH)))), _DIGITS, "0") for j in range(TOGETHER)]
-    parts = rows.groupBy(*keys, "k").agg(*mins).select(*keys, "k", F.when(F.col("m0").isNull(), "").otherwise(F.concat(*digits)).alias("part"))
-    whole = parts.groupBy(*keys).agg(*(F.max(F.when(F.col("k") == k, F.col("part"))).alias(f"p{k}") for k in range(0, SAMPLES, TOGETHER)))
-    return whole.select(*keys, F.concat(*(f"p{k}" for k in range(0, SAMPLES, TOGETHER))).alias("fingerprint"))
+    words = _terms(F.col(first), 0)
+    if second is not None:
+        words = F.concat(words, _terms(F.col(second), 1))
+    rows = texts.select(*keys, F.explode(let(_runs(F.sort_array(words)), _paired)).alias("x"))
+    blank = F.col("x.term") == F.shiftright(F.xxhash64(F.lit("")), 1)
+    log_weight = lambda n: F.when(~blank & (F.col(n) > 0), F.log(1.0 + F.log(F.col(n).cast("double"))))
+    rows = rows.select(*keys, F.col("x.term").alias("term"), log_weight("x.n0").alias("w0"), log_weight("x.n1").alias("w1"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, range(0, SAMPLES, TOGETHER)))).alias("k"))
+    each = range(TOGETHER)
+    # Step by step, so that every value is computed once for a row.
+    rows = rows.select(*keys, "k", "w0", "w1", *(F.xxhash64("term", F.col("k") + j).alias(f"g{j}") for j in each))
+    rows = rows.select("*", *(F.xxhash64(f"g{j}").alias(f"h{j}") for j in each))
+    draws = [(-F.log(_uniform(F.col(f"g{j}"), 0) * _uniform(F.col(f"g{j}"), 1)), -F.log(_uniform(F.col(f"h{j}"), 0) * _uniform(F.col(f"h{j}"), 1)), _uniform(F.col(f"g{j}"), 2)) for j in each]
+    rows = rows.select(*keys, "k", "w0", "w1", *(f"g{j}" for j in each), *(x.alias(f"{n}{j}") for j, draw in zip(each, draws, strict=True) for n, x in zip("rcb", draw, strict=True)))
+    packed = lambda j, w: _pack(*(F.col(f"{n}{j}") for n in "grcb"), F.col(w))
+    rows = rows.select("*", *(packed(j, "w0").alias(f"s0_{j}") for j in each))
+    mins = [F.min(f"s0_{j}").alias(f"m0_{j}") for j in each]
+    if second is not None:
+        mins += [F.min(F.when(F.col("w1") == F.col("w0"), F.col(f"s0_{j}")).otherwise(packed(j, "w1"))).alias(f"m1_{j}") for j in each]
+    kinds = (0,) if second is None else (0, 1)
+    digits = lambda kind: F.concat(*(F.lpad(F.lower(F.hex(F.col(f"m{kind}_{j}").bitwiseAND(F.lit(_HASH)))), _DIGITS, "0") for j in each))
+    parts = rows.groupBy(*keys, "k").agg(*mins).select(*keys, "k", *(F.when(F.col(f"m{kind}_0").isNull(), "").otherwise(digits(kind)).alias(f"d{kind}") for kind in kinds))
+    whole = parts.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.struct("k", f"d{kind}"))).alias(f"p{kind}") for kind in kinds))
+    return whole.select(*keys, *(F.array_join(F.col(f"p{kind}.d{kind}"), "").alias(f"p{kind}") for kind in kinds))
+
+
+def fingerprinted(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and fingerprint: one row for each distinct ``keys``, which have to tell the texts apart."""
+    return _printed(texts, keys, text, None).withColumnRenamed("p0", "fingerprint")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -103,7 +143,8 @@ def _followed(keys: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    unplaced, texts = texts.filter("doc_id is null"), texts.filter("doc_id is not null")
     keys = texts.select("doc_id", "h", F.length("text").alias("n")).groupBy("doc_id", "h", "n").agg(F.count("*").alias("copies"))
     order = staged(_followed(keys.select("doc_id", "h", "n")), "order")
     copied = not keys.filter("copies > 1").isEmpty()
@@ -117,11 +158,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - F.col("k")), F.col("prefix"))
     both = both.select("doc_id", "h", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     sums = both.select("doc_id", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    kinds = both.select("doc_id", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
     # Short keys: they are looked up once for each term.
-    printed = fingerprinted(kinds.select("doc_id", "h", "x.*"), ["doc_id", "h", "kind"], "text")
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("fingerprint")))
-    printed = printed.groupBy("doc_id", "h").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint"))
+    printed = _printed(both, ["doc_id", "h"], "text", "edited").withColumnsRenamed({"p0": "fingerprint", "p1": "edited_fingerprint"})
     if copied:
         sums = sums.distinct()
     printed = staged(printed.join(sums, ["doc_id", "h"]), "fingerprints")
@@ -131,4 +169,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     out = out.select("doc_id", "h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
     if copied:
         out = texts.select("doc_id", "h").join(out, ["doc_id", "h"])
-    return out.drop("h")
+    out = out.drop("h")
+    if unplaced.isEmpty():
+        return out
+    alone = fingerprinted(unplaced.select("h", "text").groupBy("h").agg(F.first("text").alias("text")), ["h"], "text")
+    alone = unplaced.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")).join(alone, "h")
+    nothing = {"edited_sha256": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
+    return out.unionByName(alone.select("doc_id", "n_chars", "fingerprint", *(F.lit(None).cast(t).alias(c) for c, t in nothing.items())))

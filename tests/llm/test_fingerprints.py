@@ -45,7 +45,7 @@ def test_table(spark):
         nxt = got[ids[(i + 1) % len(ids)]].fingerprint
         assert abs(x.near_next - sum(x.fingerprint[j : j + 6] == nxt[j : j + 6] for j in range(0, len(nxt), 6)) / fp.SAMPLES) < 1e-9
         errors.append(x.near_edited - alike(rows[d], other[d]))
-    assert abs(sum(errors) / len(errors)) < 0.02 and max(map(abs, errors)) < 0.5
+    assert abs(sum(errors) / len(errors)) < 0.02 and max(map(abs, errors)) < 0.3
 
 
 def test_collision_rate(spark):
@@ -72,4 +72,8 @@ def test_edges(spark, edge_docs, no_docs):
     assert fp.fingerprints(twice).count() == 2 * len(rows)
     one = fp.fingerprints(edge_docs.filter("doc_id = 7")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
-    assert fp.fingerprints(edge_docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 0
+    # Rows without an id have a fingerprint and no neighbour.
+    lost = fp.fingerprints(edge_docs.unionByName(edge_docs.filter("doc_id > 4").withColumn("doc_id", F.lit(None).cast("long")))).collect()
+    assert sorted((r.n_chars, r.fingerprint) for r in lost if r.doc_id is None) == sorted((r.n_chars, r.fingerprint) for d, r in got.items() if d > 4)
+    assert all(r.near_next is None and r.edited_sha256 is None for r in lost if r.doc_id is None)
+    assert {r.doc_id: r for r in lost if r.doc_id is not None} == got
