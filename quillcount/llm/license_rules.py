@@ -51,7 +51,7 @@ mit : mit (?:expat|x11) LIC
 mit : the expat LIC
 mit : mit style LIC
 mit : (?:LIC|licen[cs]ing) (?:is )?mit
-mit-0 : mit no attribution(?: LIC)?
+mit-0 : mit no attribution LIC
 mit-0 : mit 0 LIC
 x11 : x11 LIC
 isc : isc LIC
@@ -77,7 +77,8 @@ apache-1.0 : apache (?:software )?V1 0
 apache-1.1 : apache (?:software )?V1 1
 apache-2.0 : apache (?:software )?V2(?: 0)?
 apache-2.0 : apache (?:software )?LIC (?:version )?2(?: 0)?
-apache-2.0 : asl ?2(?: 0)?
+apache-2.0 : asl2(?: 0)?
+apache-2.0 : asl (?:version )?2 0
 apache-2.0 : apache2 LIC
 apache : apache (?:software )?LIC
 gpl-1.0 : GPL V1(?: 0)?
@@ -164,7 +165,7 @@ zend-2.0 : zend engine LIC
 ruby : ruby LIC
 postgresql : postgresql LIC
 openssl : openssl(?: ssleay)? LIC
-ncsa : (?:ncsa|university of illinois ANY)(?:open source )?LIC
+ncsa : (?:ncsa|university of illinois(?: ncsa)?)(?: open source)? LIC
 ofl-1.1 : (?:sil )?open font LIC(?: V1 1)?
 ofl-1.1 : sil ofl
 odbl-1.0 : open (?:data commons open )?database LIC(?: V1 0)?
@@ -178,7 +179,8 @@ dl-de : datenlizenz deutschland
 wtfpl : wtfpl(?: LIC)?
 wtfpl : do what the fuck you want to public LIC
 unlicense : (?:the )?unlicense(?: LIC)?
-beerware : beer ?ware LIC
+beerware : beer ware LIC
+beerware : beerware LIC
 cc0-1.0 : cc0(?: 1 0)?(?: universal)?
 cc0-1.0 : creative commons (?:zero|cc0)(?: 1 0)?
 cc-by-4.0 : CCL BY 4 0
@@ -255,8 +257,10 @@ commercial : commercial LIC (?:agreement|required)
 
 #: Grants: a license is named as the one that applies.
 GRANTS = r"""
-mit : UNDERmit(?: (?:x11 |expat )?LIC)?
-isc : UNDERisc(?: LIC)?
+mit : UNDERmit (?:x11 |expat )?LIC
+mit : licen[cs]ed (?:under|by|with) (?:the )?(?:terms of (?:the )?)?mit
+isc : UNDERisc LIC
+isc : licen[cs]ed (?:under|by|with) (?:the )?(?:terms of (?:the )?)?isc
 bsd : UNDERbsd(?: style)?(?: LIC)?
 bsd-2-clause : UNDER(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: LIC)?
 bsd-3-clause : UNDER(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: LIC)?
@@ -282,7 +286,8 @@ epl-2.0 : UNDEREPL V2(?: 0)?
 cddl : UNDERcddl(?: LIC)?
 artistic : UNDER(?:perl )?artistic LIC
 artistic : UNDERsame terms as perl(?: itself)?
-zlib : UNDERzlib(?: libpng)?(?: LIC)?
+zlib : UNDERzlib(?: libpng)? LIC
+zlib : licen[cs]ed (?:under|by|with) (?:the )?(?:terms of (?:the )?)?zlib
 bsl-1.0 : UNDERboost(?: software)? LIC
 ofl-1.1 : UNDER(?:sil )?(?:ofl|open font LIC)
 cc0-1.0 : UNDER(?:creative commons )?cc0
@@ -379,24 +384,23 @@ commercial : free for non ?commercial use
 evaluation : for evaluation purposes only licen[cs]e
 """
 
-#: A text that any rule or base phrase matches holds one of these; each is within one word, as any separator can join words.
-GATES = (
-    "licen", "lizenz", "spdx", "granted", "permission", "permitted", "redistribut", "contributors", "advertising", "unencumbered", "domain", "copyright", "reserved",
-    "warranty", "gpl", "gnu", "apache", "asl", "bsd", "mozilla", "mpl", "eclipse", "epl", "cddl", "eupl", "creative", "cc", "ofl", "fdl", "clause", "etalab", "wtfpl", "cecill",
-    "mulan", "altered", "png", "anyone", "beer", "openssl", "php", "restriction", "jpeg", "freetype", "evil", "proprietary", "unauthori", "commercial", "rail", "historical",
-)
-
-
-#: The forms of gates that have to be whole words; the others are the beginning of one, or follow a short prefix.
-_WHOLE = {w: w for w in "gnu bsd cddl mpl epl ofl beer png php evil rail mulan anyone altered reserved granted domain openssl".split()}
-_WHOLE |= {"gpl": "[al]?gpl(?:v[0-9]+)?", "fdl": "g?fdl", "eupl": "eupl", "asl": "asl[0-9]?", "cc": "cc0?", "bsd": "0?bsd", "licen": "(?:un|re|sub|over|mis)?licen[0-9a-z]*", "openssl": "openssl", "beer": "beer(?:ware)?"}
-GATE_WORDS = rf"(?<![0-9a-z\x{{80}}-\x{{10FFFF}}])(?:(?:{'|'.join(_WHOLE.values())})(?![0-9a-z\x{{80}}-\x{{10FFFF}}])|{'|'.join(g for g in GATES if g not in _WHOLE)})"
+#: Every match of a rule or a base phrase holds one of these words.
+GATES = tuple(
+    """
+    license licence licensed licenced licenses licences licensing licencing unlicense lizenz datenlizenz spdx granted permission
+    permitted redistribution redistributions contributors advertising unencumbered domain copyright reserved warranty gpl gplv2
+    gplv3 lgpl lgplv3 agpl agplv3 gnu apache apache2 asl asl2 bsd 0bsd mozilla mpl eclipse epl cddl eupl creative cc cc0 ofl fdl gfdl
+    clause etalab wtfpl cecill mulan altered png anyone beer beerware openssl php restriction jpeg freetype evil proprietary
+    unauthorised unauthorized commercial noncommercial rail historical
+    perl licensor
+    """.split()
+)
 
 #: Where a pattern has one of these abbreviations, one of the words stands in every match.
 _FAMILY = {
     "AGPL": ("agpl", "affero"),
     "LGPL": ("lgpl", "lesser", "library"),
-    "GFDL": ("fdl", "documentation"),
+    "GFDL": ("fdl", "gfdl", "documentation"),
     "GPL": ("gpl", "general"),
     "MPL": ("mpl", "mozilla"),
     "EPL": ("epl", "eclipse"),
@@ -412,19 +416,51 @@ def _expanded(pattern: str) -> str:
     return pattern
 
 
+def _literal(pattern: str) -> str:
+    """The longest word of a pattern without groups that every match holds, or nothing."""
+    return max((w for w in pattern.split(" ") if re.fullmatch("[a-z0-9]{2,}", w)), key=len, default="")
+
+
+def _alternatives(group: str) -> list[str]:
+    """What stands between the bars of a group, bars of groups inside it aside."""
+    out, depth = [""], 0
+    for c in group:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def _keywords(pattern: str) -> tuple[str, ...]:
-    """Words, one of which every match of an unexpanded pattern holds; an empty one stands in every text."""
-    pattern = pattern.replace("UNDER", " ")
+    """Words, one of which every match of an unexpanded pattern holds."""
+    pattern = pattern.replace("UNDER", "A ")
     for short, words in _FAMILY.items():
         if re.search(rf"(?<![A-Z]){short}(?![A-Z])", pattern):
             return words
-    plain, depth = [], 0
+    flat, groups, depth = "", [], 0  # flat has \x00 for a group, with the spaces that all its alternatives start or end with
     for c in pattern:
         depth += c == "("
-        plain.append(c if depth == 0 else "\x00")
+        if depth == 0:
+            flat += c
+        elif depth == 1 and c == "(":
+            groups.append("")
+        else:
+            groups[-1] += c
         depth -= c == ")"
-    flat = re.sub(r"[A-Z]+|\x00+[?*]?|\[[^\]]*\]\S*|.[?*]", "\x00", "".join(plain))
-    return (max(re.findall(r"[a-z0-9]{3,}", flat) or [""], key=len),)
+        if c == ")" and depth == 0:
+            inside = _alternatives(groups[-1][2:-1])
+            flat += " " * all(w[:1] == " " for w in inside) + "\x00" + " " * all(w[-1:] == " " for w in inside)
+    needed = [not re.match(r" ?[?*]", flat[m.end() :]) for m in re.finditer("\x00", flat)]
+    word = _literal(re.sub("(?<=\x00)( ?)[?*]", r"\1", flat))
+    if word:
+        return (word,)
+    for group, always in zip(groups, needed, strict=True):
+        words = tuple(_literal(re.sub(r"\([^()]*\)\??", "\x00", w)) for w in _alternatives(group[2:-1]))
+        if always and all(words):
+            return words
+    raise ValueError(pattern)
 
 
 def rules() -> list[tuple[str, str, tuple[str, ...], int, float]]:

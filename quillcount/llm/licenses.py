@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import blocks, let
-from .license_rules import GATE_WORDS, GATES, rules
+from .license_rules import GATES, rules
 
 # Base phrases and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -44,12 +44,12 @@ def _rule_array() -> Column:
 _HIT = "struct<start:int,back:int,down:int,label:string,score:double>"
 
 
-def _hits(said: Column, rule_array: Column) -> Column:
+def _hits(said: Column, present: Column, rule_array: Column) -> Column:
     """All detections, one array for each rule that fires: (first word, -end, -priority, label, score).
 
     A rule's matches are marked where they start and end, and the marks read off the words; one pass over the text.
     """
-    fired = F.filter(rule_array, lambda r: F.exists(r["keys"], lambda k: F.contains(said, k)) & F.rlike(said, r["pattern"]))
+    fired = F.filter(rule_array, lambda r: F.arrays_overlap(r["keys"], present) & F.rlike(said, r["pattern"]))
 
     def found(r: Column) -> Column:
         marked = F.split(F.regexp_replace(said, r["pattern"], F.lit(f"{_FROM}$0{_TO}")), " ")
@@ -101,16 +101,18 @@ def _places(words: Column, phrase: list[str], label: str) -> Column:
 def licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gate = F.rlike(F.lower("text"), F.lit(GATE_WORDS))
-    out = out.select("*", F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long").alias("n_words"), gate.alias("gate"))
+    # One pass finds the words of every text: their number and whether a gate is among them.
+    out = out.select("*", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("some"))
+    out = out.select("doc_id", "text", F.size("some").cast("long").alias("n_words"), F.arrays_overlap("some", F.array(*map(F.lit, GATES))).alias("gate"))
     words = F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
-    out = out.select("doc_id", "n_words", F.when(F.col("gate") & (F.col("n_words") > 0), words).alias("words"))
+    out = out.select("doc_id", "n_words", F.when(F.col("gate"), words).alias("words"))
 
+    keywords = F.array(*map(F.lit, sorted({k for _, _, keys, *_ in rules() for k in keys})))
     w, none = F.col("words"), F.array().cast(f"array<{_HIT}>")
     starts = [_places(w, phrase.split(), label) for phrase, label in BASE_PHRASES]
     base = F.when(w.isNotNull(), F.concat(*starts)).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
-    out = out.select("doc_id", "n_words", base.alias("base"), F.when(w.isNotNull(), F.array_join(w, " ")).alias("said"))
-    hits = F.when(F.col("said").isNotNull(), F.array_sort(F.array_distinct(F.flatten(_hits(F.col("said"), _rule_array()))))).otherwise(none)
+    out = out.select("doc_id", "n_words", base.alias("base"), F.when(w.isNotNull(), F.array_join(w, " ")).alias("said"), F.when(w.isNotNull(), F.array_intersect(w, keywords)).alias("present"))
+    hits = F.when(F.col("said").isNotNull(), F.array_sort(F.array_distinct(F.flatten(_hits(F.col("said"), F.col("present"), _rule_array()))))).otherwise(none)
     out = out.select("doc_id", "n_words", "base", hits.alias("hits"))
     out = out.select("doc_id", "n_words", "base", F.when(F.size("hits") > 0, _resolved(F.col("hits"))).otherwise(none).alias("kept"))
     base_labels = F.transform("base", lambda b: b["label"])

@@ -75,8 +75,42 @@ def test_license_wrapped(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score > 0) for r in licenses.licenses(df).collect()}
     assert got == {i: (label, label != "") for i, label in enumerate(texts.values())}
-    for _, pattern, *_ in licenses.rules():
-        assert any(g in pattern or g in pattern.replace("[cs]", "c") for g in licenses.GATES), pattern
+
+
+def _example(parsed, rnd):
+    """A random string that a parsed pattern matches."""
+    out = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "SUBPATTERN":
+            out.append(_example(arg[3], rnd))
+        elif name == "BRANCH":
+            out.append(_example(rnd.choice(arg[1]), rnd))
+        elif name == "IN":
+            out.append("q" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "7")
+        elif name == "NOT_LITERAL":
+            out.append("q")
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            out += [_example(inner, rnd) for _ in range(rnd.randint(low, min(int(high), low + 1)))]
+        else:
+            assert name == "ASSERT_NOT", name
+    return "".join(out)
+
+
+def test_license_gates_and_keywords():
+    """Whatever a rule matches holds a gate and one of the rule's keywords."""
+    import random
+    from re import _parser
+
+    rnd = random.Random(2)
+    for label, pattern, keys, *_ in licenses.rules():
+        for _ in range(12):
+            said = _example(_parser.parse(pattern), rnd)
+            assert re.search(pattern, said), (label, said)
+            assert {*said.split()} & {*licenses.GATES} and {*said.split()} & {*keys}, (label, said)
 
 
 def test_secret_base(docs):
