@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,9 @@ def current_files(tree: DataFrame, verified: bool) -> DataFrame:
 
 
 def count_fresh(tree: DataFrame, decisions: DataFrame, plan: Plan) -> DataFrame:
-    """Entries with the missing methods of misses and partial hits; only their contents are read."""
+    """Entries of the files of ``tree`` with the methods that their decisions name as missing."""
     todo = decisions.where("kind in ('miss', 'partial_hit')").select("path", "missing")
-    rows = tree.withColumn("path", F.col("relative_path")).join(F.broadcast(todo) if todo.count() <= 100_000 else todo, "path")
+    rows = tree.withColumn("path", F.col("relative_path")).join(todo, "path")
     rows = rows.withColumn("text", files.as_text(F.col("content")))
     # A method runs where it's missing; elsewhere it sees an empty text.
     out = T.with_stats(rows).withColumn("digest", T.digest("content")).withColumn("classification", F.lit("text"))
@@ -48,12 +49,14 @@ def entry_totals(entries: DataFrame, plan: Plan) -> DataFrame:
 def count_directory(spark: SparkSession, root: str, plan: Plan, store=None, mode: str = inv.METADATA) -> tuple[DataFrame, DataFrame | None]:
     """(report, decisions) of a directory's text files; with a store, from its latest generation and what is missing.
 
+    Files are listed once. With a store, contents are read of misses and partial hits only (in mode verified, also for the
+    digests); whether a file is binary is found by its first bytes when it is read. The driver holds the listing's paths.
+
     The report is computed before anything is stored. A failing store gives a warning and a cold count, never an
     error. A plan with a method that has no contract isn't stored.
     """
-    tree = files.directory(spark, root)
     if store is None or any(m.contract is None for m in plan.methods):
-        rows = tree.withColumn("text", files.as_text(F.col("content"))).select("size", "text")
+        rows = files.directory(spark, root).withColumn("text", files.as_text(F.col("content"))).select("size", "text")
         return counting.totals(counting.document_counts(rows, plan), plan, size="size"), None
     try:
         snapshot = store.load(root)
@@ -62,11 +65,22 @@ def count_directory(spark: SparkSession, root: str, plan: Plan, store=None, mode
         snapshot = None
     contracts = [_name(m) for m in plan.methods]
     light = mode == inv.METADATA or snapshot is None
-    listing = files.directory(spark, root, contents=not light)
-    decisions = inv.plan(current_files(listing, not light), snapshot.entries if snapshot else None, contracts, mode).cache()
-    fresh = count_fresh(tree, decisions, plan)
-    entries = inv.materialise(decisions, snapshot.entries, fresh) if snapshot else fresh
+    stored = snapshot.entries if snapshot else None
+    # One listing, without opening a file; then the contents of what the decisions name, and of nothing else.
+    listed = files.walk(root, sniff=False).files
+    current = current_files(files.listed_files(spark, root, listed, contents=not light, sniff=not light), not light)
+    decisions = inv.plan(current, stored, contracts, mode).cache()
+    asked = {r.path for r in decisions.where("kind in ('miss', 'partial_hit')").select("path").collect()}
+    tree = files.listed_files(spark, root, [p for p in listed if os.path.relpath(p, root).replace(os.sep, "/") in asked], sniff=True)
+    fresh = count_fresh(tree, decisions, plan).cache()
+    binary = asked - {r.path for r in fresh.select("path").collect()}
+    if binary:  # only now known: they are no files of the tree
+        text_only = current.join(spark.createDataFrame([(p,) for p in binary], "path string"), "path", "left_anti")
+        decisions = inv.plan(text_only, stored, contracts, mode).cache()
+    entries = inv.materialise(decisions, stored, fresh) if snapshot else fresh
     entries = entries.cache()
+    if entries.isEmpty():
+        raise FileNotFoundError(f"no text files in {root}")
     report = entry_totals(entries, plan)
     rows = report.collect()
     result = spark.createDataFrame(rows, report.schema)

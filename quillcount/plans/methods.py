@@ -81,6 +81,12 @@ def _approximation(encoding: str, name: str, display: str, count: Callable[[Colu
     return Method(0, name, display, False, encoding, count, None, Contract("approximation", encoding, "approx-v1", "", "none-v1", "none-v1"))
 
 
+def _digest(path: str) -> str:
+    """Of a vocabulary file, so that counts made with another one are never reused."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def tokenizer(encoding: str, options: Options) -> Method | None:
     """The method of an encoding's name; None for an unknown one."""
     if encoding == "claude_approx":
@@ -92,15 +98,14 @@ def tokenizer(encoding: str, options: Options) -> Method | None:
             return None
         if not os.path.exists(options.vocab_file):
             raise FileNotFoundError(f"vocab file not found: {options.vocab_file}")
-        with open(options.vocab_file, "rb") as f:
-            digest = hashlib.sha256(f.read()).hexdigest()
+        digest = _digest(options.vocab_file)
         path = options.vocab_file
         return Method(0, "spm", "SentencePiece", True, "spm", lambda c: tokenizers.spm_count(path)(c), None, Contract("sentencepiece", "spm", "sentencepiece-v1", digest, "processor-default-v1", "processor-default-v1"))
     if encoding in tokenizers.ENCODINGS:
         path = tokenizers.vocabulary_path(encoding, options.vocabularies)
         if path is None:
             raise VocabularyUnavailable(f"no rank table for {encoding}")
-        return Method(0, f"bpe_{encoding}", encoding, True, encoding, lambda c: tokenizers.bpe_count(encoding, path)(c), None, Contract("bpe", encoding, "bpe-v1", "", "none-v1", "ordinary-no-special-tokens-v1"))
+        return Method(0, f"bpe_{encoding}", encoding, True, encoding, lambda c: tokenizers.bpe_count(encoding, path)(c), None, Contract("bpe", encoding, "bpe-v1", _digest(path), "none-v1", "ordinary-no-special-tokens-v1"))
     return None
 
 

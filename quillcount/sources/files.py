@@ -8,6 +8,7 @@ driver. Contents are read by the executors, a bounded number of bytes for each p
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import sys
 from collections.abc import Iterator
@@ -69,9 +70,11 @@ class Walk:
     skipped_ignore: int = 0
 
 
-def walk(root: str) -> Walk:
+def walk(root: str, sniff: bool = True) -> Walk:
     """Text files below root in lexical order. .git folders are left out at any depth; only root's own ignore file counts.
 
+    Without ``sniff`` no file is opened: binary ones are told by their extension only, and the reader has to sniff.
+
     A file that can't be opened counts as binary; so does a link to a folder, which isn't followed.
     """
     rules_path = os.path.join(root, ".gitignore")
@@ -92,7 +95,7 @@ def walk(root: str) -> Walk:
                 out.skipped_ignore += 1
                 continue
             try:
-                skip = is_binary(entry.path)
+                skip = is_binary(entry.path) if sniff else extension(entry.path) in BINARY_EXTENSIONS or entry.is_symlink() and not os.path.isfile(entry.path)
             except OSError:
                 skip = True
             if skip:
@@ -114,10 +117,11 @@ class _TreeReader(DataSourceReader):
         self.root = options.get("path")
         self.listed = options.get("files")
         self.contents = options.get("contents", "true").lower() == "true"
+        self.sniff = options.get("sniff", "false").lower() == "true"
         self.bytes = int(options.get("partitionBytes", PARTITION_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        files = self.listed.split("\n") if self.listed is not None else walk(self.root).files
+        files = json.loads(self.listed) if self.listed is not None else walk(self.root).files
         rows, size = [[]], 0
         for path in files:
             info = os.stat(path)
@@ -132,15 +136,24 @@ class _TreeReader(DataSourceReader):
     def read(self, partition: _Files) -> Iterator[tuple]:
         for path, relative, size, mtime in partition.files:
             content = None
-            if self.contents:
-                with open(path, "rb") as f:
-                    content = f.read()
-                size = len(content)
+            if self.contents or self.sniff:
+                try:
+                    with open(path, "rb") as f:
+                        content = f.read(SNIFFED)
+                        if self.sniff and b"\0" in content:
+                            continue
+                        content = content + f.read() if self.contents else None
+                except OSError:
+                    if self.sniff:
+                        continue
+                    raise
+                size = len(content) if self.contents else size
             yield path, relative, size, mtime, content
 
 
 class TextTree(DataSource):
-    """Format text_tree. Options: path (a folder), or files (a list, one a line); contents; partitionBytes."""
+    """Format text_tree. Options: path (a folder); files (a JSON list of paths) instead of a walk of it; contents; sniff (leave
+    out files that are binary or can't be opened, on the executors); partitionBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,10 +168,16 @@ class TextTree(DataSource):
 
 def directory(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
     """Text files of a tree; FileNotFoundError if there are none."""
-    if not walk(root).files:
+    found = walk(root).files
+    if not found:
         raise FileNotFoundError(f"no text files in {root}")
+    return listed_files(spark, root, found, contents)
+
+
+def listed_files(spark: SparkSession, root: str, paths: list[str], contents: bool = True, sniff: bool = False) -> DataFrame:
+    """The files at ``paths`` as parts of the tree at root; no other file is opened."""
     spark.dataSource.register(TextTree)
-    return spark.read.format("text_tree").option("path", root).option("contents", str(contents)).load()
+    return spark.read.format("text_tree").option("path", root).option("files", json.dumps(paths)).option("contents", str(contents)).option("sniff", str(sniff)).load()
 
 
 def file_list(spark: SparkSession, paths: list[str], contents: bool = True) -> DataFrame:
@@ -166,7 +185,7 @@ def file_list(spark: SparkSession, paths: list[str], contents: bool = True) -> D
     if not paths:
         raise ValueError("no files")
     spark.dataSource.register(TextTree)
-    return spark.read.format("text_tree").option("files", "\n".join(paths)).option("contents", str(contents)).load()
+    return spark.read.format("text_tree").option("files", json.dumps(paths)).option("contents", str(contents)).load()
 
 
 def single_file(spark: SparkSession, path: str, reject_binary: bool = True) -> DataFrame:

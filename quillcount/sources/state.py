@@ -16,6 +16,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import invalidation as inv
@@ -123,6 +125,11 @@ class ParquetStore:
         if found is None:
             return None
         entries = self.spark.read.schema(ENTRIES).parquet(os.path.join(self._home(root), found["folder"]))
+        try:  # every page is read here once, so that damage shows now and not in a later plan
+            entries.write.format("noop").mode("overwrite").save()
+        except (PySparkException, Py4JJavaError) as failure:
+            self._quarantine(root, "corrupt")
+            raise Corrupt(f"{root}: {str(failure)[:200]}") from failure
         return Snapshot(found["root"], found["schema_version"], found["generation"], entries)
 
     def _publish(self, root: str, generation: int, entries: DataFrame) -> int:

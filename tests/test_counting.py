@@ -130,3 +130,14 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = counting.report(docs, PLAN).first()
     assert len(seen) == 3 and [s.files_done for s in seen] == sorted(s.files_done for s in seen)
     assert (seen[-1].files_done, seen[-1].words, seen[-1].tokens["gemini_approx"]) == (whole.file_count, whole.words, whole.methods[1]["tokens"])
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from quillcount.streaming.progress import stream_totals
+
+    folder, seen = str(tmp_path / "in"), []
+    for text in ("one document here", "a second one"):
+        spark.createDataFrame([(text,)], "text string").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("text string").parquet(folder)
+        stream_totals(stream, PLAN, seen.append, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert [(s.files_done, s.words) for s in seen] == [(1, 3), (2, 6)]

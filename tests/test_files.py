@@ -216,3 +216,58 @@ def test_cli(spark, tree, tmp_path, monkeypatch, capsys):
     assert '"present": true' in cli.state_command(["status", str(tree), "--json"])
     assert cli.state_command(["clear", str(tree)]).startswith("Cleared")
     assert "Present: false" in cli.state_command(["status", str(tree)])
+
+
+def test_recount_opens_only_what_changed(spark, tmp_path, monkeypatch):
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(40):
+        (root / f"f{i:02}.txt").write_text(f"text number {i}\n")
+    (root / "zero.dat").write_bytes(b"a\0b")
+    store = state.ParquetStore(spark, str(tmp_path / "state"))
+    cached.count_directory(spark, str(root), PLAN, store)
+    (root / "f07.txt").write_text("something else here\n")
+    read, opened, load, real = [], [], files.listed_files, open
+
+    def spy(session, folder, paths, contents=True, sniff=False):
+        read.extend(os.path.basename(p) for p in paths if contents)
+        return load(session, folder, paths, contents, sniff)
+
+    monkeypatch.setattr(files, "listed_files", spy)
+    monkeypatch.setattr("builtins.open", lambda f, *a, **k: (opened.append(str(f)), real(f, *a, **k))[1])
+    got, decisions = cached.count_directory(spark, str(root), PLAN, store)
+    monkeypatch.undo()
+    assert read == ["f07.txt", "zero.dat"]  # a file without a stored entry is sniffed anew
+    assert not [f for f in opened if f.startswith(str(root))]
+    assert got.collect() == cached.count_directory(spark, str(root), PLAN)[0].collect()
+    assert (invalidation.summary(decisions).first().hits, invalidation.summary(decisions).first().misses) == (39, 1)
+
+
+def test_another_rank_table_is_another_contract(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.txt").write_text("Counting words takes a vocabulary; another one gives another count.\n" * 20)
+    store = state.ParquetStore(spark, str(tmp_path / "state"))
+    tables = ["/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"]
+    counted = []
+    for table in (*tables, tables[0]):
+        plan = methods.plan("r50k_base", False, methods.Options(vocabularies={"r50k_base": table}))
+        got = cached.count_directory(spark, str(root), plan, store)[0].first().methods[0].tokens
+        assert got == cached.count_directory(spark, str(root), plan)[0].first().methods[0].tokens
+        counted.append(got)
+    assert counted[0] == counted[2] != counted[1]
+
+
+def test_damaged_part_files_count_cold(spark, tree, tmp_path):
+    store = state.ParquetStore(spark, str(tmp_path / "state"))
+    want = cached.count_directory(spark, str(tree), PLAN, store)[0].collect()
+    for part in (tmp_path / "state").rglob("part-*.parquet"):
+        raw = bytearray(part.read_bytes())
+        raw[4 : len(raw) - 8] = b"\xff" * (len(raw) - 12)
+        part.write_bytes(raw)
+        for check in part.parent.glob(".part-*.crc"):
+            check.unlink()
+    with pytest.warns(UserWarning, match="stored counts not used"):
+        got, _ = cached.count_directory(spark, str(tree), PLAN, store)
+    assert got.collect() == want
+    assert invalidation.summary(cached.count_directory(spark, str(tree), PLAN, store)[1]).first().misses == 0
