@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def encoding_of(model: str) -> tuple[str, bool]:
@@ -35,6 +37,16 @@ def thousands(n: int) -> str:
     return f"{n:,}"
 
 
+def thousands_column(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def window_column(n: Column) -> Column:
+    """window_label() as an expression."""
+    million = F.when(n % 1_000_000 == 0, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M"))).otherwise(F.format_string("%.1fM", n.cast("double") / 1e6))
+    return F.when(n >= 1_000_000, million).when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
+
+
 def window_label(n: int) -> str:
     """1M, 1.5M, 128K or the number."""
     if n >= 1_000_000:
@@ -53,6 +65,12 @@ def context_usage(tokens: int, window: int | None) -> str:
     return f"<0.1% of {window_label(window)}"
 
 
+@F.pandas_udf(StringType())
+def context_usage_text(tokens: pd.Series, windows: pd.Series) -> pd.Series:
+    """context_usage() of columns; in Python, as binary doubles have to be rounded as printf does. One value a report row."""
+    return pd.Series([None if pd.isna(t) else context_usage(int(t), None if pd.isna(w) else int(w)) for t, w in zip(tokens, windows, strict=True)])
+
+
 def context_share(tokens: Column, window: Column) -> Column:
     """Percent of a window, null without one."""
     return F.when(window > 0, tokens.cast("double") / window * 100)

@@ -146,11 +146,7 @@ def method_all_or_nothing(spark, sf_dir):
     counts = counting.document_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), plan)
     counts = counts.withColumn("m1", F.when(F.col("doc_id") % 97 != 0, F.col("m1")))
     rows = counting.method_rows(counting.totals(counts, plan, ["source"]))
-    return rows.where("ord < 2").select("source", F.when(F.col("name") == "claude_3_approx", F.col("name")).otherwise("gemini_approx").alias("name"), "tokens").where("name != 'x'").join(_planned_names(spark, plan), "name", "left_semi")
-
-
-def _planned_names(spark: SparkSession, plan: methods.Plan) -> DataFrame:
-    return spark.createDataFrame([(m.name,) for m in plan.methods], "name string")
+    return rows.where("ord < 2").select("source", "name", "tokens")
 
 
 @query(f"SELECT doc_id, COUNT(*) OVER w AS files_done, CAST(SUM(characters) OVER w AS BIGINT) AS running_characters, CAST(SUM(words) OVER w AS BIGINT) AS running_words, CAST(SUM(lines) OVER w AS BIGINT) AS running_lines FROM (SELECT doc_id, {_stats()} FROM documents) WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
@@ -192,6 +188,50 @@ def model_names(spark, sf_dir):
     return registry.models(spark).select("name", labels.method_name(F.col("name")).alias("method"), labels.encoding_column(F.col("name")).alias("guessed"))
 
 
+@query(f"SELECT lang, name, CASE WHEN name = 'bpe_r50k_base' THEN 'Exact' WHEN name = 'claude_3_approx' THEN 'Estimated' ELSE 'Approx' END AS accuracy FROM ({_report_sql('lang')})")
+def accuracy_labels(spark, sf_dir):
+    rows = counting.method_rows(counting.report(table(spark, sf_dir, "documents"), _approximations(), ["lang"]))
+    return rows.select("lang", "name", labels.accuracy(F.col("name"), F.col("is_exact")).alias("accuracy"))
+
+
+@query("SELECT doc_id, format('{:,}', (doc_id - 400) * n_chars * 131) AS formatted FROM documents")
+def thousands_separators(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", labels.thousands_column((F.col("doc_id") - 400) * F.col("n_chars") * 131).alias("formatted"))
+
+
+_WINDOW_SQL = "CASE WHEN {w} >= 1000000 THEN CASE WHEN {w} % 1000000 = 0 THEN ({w} // 1000000) || 'M' ELSE printf('%.1fM', {w} / 1000000.0::DOUBLE) END WHEN {w} >= 1000 THEN ({w} // 1000) || 'K' ELSE {w}::VARCHAR END"
+
+
+@query(f"SELECT name, {_WINDOW_SQL.format(w='context_window')} AS label FROM {_models_sql()}")
+def window_labels(spark, sf_dir):
+    return registry.models(spark).select("name", labels.window_column(F.col("context_window")).alias("label"))
+
+
+@query(f"SELECT doc_id, {_WINDOW_SQL.format(w='w')} AS label FROM (SELECT doc_id, n_chars * (doc_id % 1000) AS w FROM documents) WHERE w % 100000 != 50000")
+def number_labels(spark, sf_dir):
+    """Labels of numbers of all sizes; ties of the rounded decimal, which no window has, are left to binary doubles."""
+    w = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * (F.col("doc_id") % 1000)).alias("w")).where("w % 100000 != 50000")
+    return w.select("doc_id", labels.window_column(F.col("w")).alias("label"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'stdin' WHEN 1 THEN url || ' (directory)' ELSE url END AS shown FROM pages")
+def display_paths(spark, sf_dir):
+    path = F.when(F.col("page_id") % 3 == 0, "-").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", labels.display_path(path, F.col("page_id") % 3 == 1).alias("shown"))
+
+
+@query("SELECT page_id, CASE WHEN length(url) <= 21 THEN url ELSE left(url, 10) || '…' || right(url, 10) END AS middle, CASE WHEN length(url) <= 16 THEN url ELSE left(url, 7) || '…' || right(url, 8) END AS uneven FROM pages")
+def shortened_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", labels.shortened(F.col("url"), 21).alias("middle"), labels.shortened(F.col("url"), 16).alias("uneven"))
+
+
+@query(f"SELECT d.doc_id, c.chars // 4 AS tokens, CASE WHEN share >= 10 THEN printf('%.0f', share) WHEN share >= 1 THEN printf('%.1f', share) WHEN share >= 0.1 THEN printf('%.2f', share) ELSE '<0.1' END || '% of 200K' AS usage FROM documents d JOIN (SELECT doc_id, strlen(text) AS chars, (strlen(text) // 4) / 200000::DOUBLE * 100 AS share FROM documents) c USING (doc_id)")
+def usage_texts(spark, sf_dir):
+    """The share of a window as a report prints it."""
+    tokens = T.characters(F.col("text")) / 4
+    return table(spark, sf_dir, "documents").select("doc_id", F.floor(tokens).alias("tokens")).select("doc_id", "tokens", labels.context_usage_text("tokens", F.lit(200_000)).alias("usage"))
+
+
 _PATH_SQL = "CASE page_id % 4 WHEN 0 THEN 'img/' || page_id || '.PNG' WHEN 1 THEN 'a.b/' || page_id WHEN 2 THEN 'src/.tiktoken' ELSE 'doc/' || page_id || '.html' END"
 
 
@@ -325,6 +365,40 @@ def pretoken_counts_r50k(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pieces.piece_count(F.col("text")).alias("n_pieces"))
 
 
+# In these two a run of white space that ends in a line end is one piece, so no mark stands before that.
+_MARKED_LINES = r"regexp_replace(text, '([\t-\r\x{85}\p{Z}])([\t\x0B\x0C\x{85}\p{Z}][^\t-\r\x{85}\p{Z}])', '\1' || chr(1) || '\2', 'g')"
+_SUFFIXES = "(?i:''s|''t|''re|''ve|''m|''ll|''d)"
+_REST = r"\p{N}{1,3}| ?[^\t-\r\x{85}\p{Z}\p{L}\p{N}\x01]+[%s]*|[\t-\r\x{85}\p{Z}]*[\r\n]+|[\t-\r\x{85}\p{Z}]+"
+_UPPER, _LOWER = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"
+_LEAD = r"[^\r\n\p{L}\p{N}\x01]?"
+_CL100K = rf"{_SUFFIXES}|{_LEAD}\p{{L}}+|{_REST % r'\r\n'}"
+_O200K = rf"{_LEAD}{_UPPER}*{_LOWER}+{_SUFFIXES}?|{_LEAD}{_UPPER}+{_LOWER}*{_SUFFIXES}?|{_REST % r'\r\n/'}"
+
+
+def _pieces_sql(pattern: str) -> str:
+    return f"SELECT doc_id, CAST(len(p) AS BIGINT) AS n_pieces, md5(array_to_string(p, chr(2))) AS pieces_md5 FROM (SELECT doc_id, regexp_extract_all({_MARKED_LINES}, '{pattern}') AS p FROM documents)"
+
+
+def _pieces_of(spark: SparkSession, sf_dir: str, encoding: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", pieces.pieces(F.col("text"), encoding).alias("p"))
+    return docs.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.md5(F.array_join("p", "\2").cast("binary")).alias("pieces_md5"))
+
+
+@query(_pieces_sql(_CL100K))
+def pretokens_cl100k(spark, sf_dir):
+    return _pieces_of(spark, sf_dir, "cl100k_base")
+
+
+@query(_pieces_sql(_O200K))
+def pretokens_o200k(spark, sf_dir):
+    return _pieces_of(spark, sf_dir, "o200k_base")
+
+
+@query(f"SELECT doc_id, CAST(len({_PIECES}) AS BIGINT) AS n_pieces FROM documents")
+def pretoken_counts_p50k(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", pieces.piece_count(F.col("text"), "p50k_base").alias("n_pieces"))
+
+
 @query(f"SELECT piece, COUNT(*) AS n FROM (SELECT unnest({_PIECES}) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 50")
 def top_pieces(spark, sf_dir):
     """The 50 most frequent pieces; the report is a top list."""
@@ -338,17 +412,49 @@ def _r50k() -> str:
     return path
 
 
-@query()
+# Merges as a recursion over distinct pieces: each step joins the adjacent pair of the lowest rank, of equal ones the
+# first. Parts are hex strings. A piece that is a token itself is one.
+_MERGED = rf"""WITH RECURSIVE ranks AS MATERIALIZED (
+  SELECT hex(from_base64(split_part(line, ' ', 1))) AS token, CAST(split_part(line, ' ', 2) AS BIGINT) AS rank FROM read_csv('{tokenizers.FOLDER}/{tokenizers.FILES["r50k_base"]}', columns = {{'line': 'VARCHAR'}}, delim = '\t', quote = '', escape = '', header = false)
+), said AS (
+  SELECT doc_id, lang, unnest({_PIECES}) AS piece FROM documents
+), counts AS (
+  SELECT doc_id, lang, piece, COUNT(*) AS n FROM said GROUP BY ALL
+), distinct_pieces AS (
+  SELECT DISTINCT piece, hex(encode(piece)) AS h FROM counts
+), steps AS (
+  SELECT piece, list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: h[i:i + 1]) AS parts FROM distinct_pieces WHERE h NOT IN (SELECT token FROM ranks)
+  UNION ALL
+  SELECT piece, parts[:k - 1] || [parts[k] || parts[k + 1]] || parts[k + 2:] FROM (
+    SELECT p.piece, any_value(p.parts) AS parts, arg_min(p.k, r.rank * 1000000 + p.k) AS k FROM (SELECT piece, parts, unnest(range(1, len(parts))) AS k FROM steps) p JOIN ranks r ON r.token = p.parts[p.k] || p.parts[p.k + 1] GROUP BY p.piece
+  )
+), sized AS (
+  SELECT piece, MIN(len(parts)) AS n_tokens FROM steps GROUP BY piece
+), per_doc AS (
+  SELECT doc_id, lang, CAST(SUM(n * coalesce(n_tokens, 1)) AS BIGINT) AS tokens FROM counts LEFT JOIN sized USING (piece) GROUP BY doc_id, lang
+)"""
+_TOKENS = f"{_MERGED} SELECT d.doc_id, coalesce(tokens, 0) AS tokens FROM documents d LEFT JOIN per_doc USING (doc_id)"
+
+
+@query(_TOKENS)
 def bpe_tokens_50k(spark, sf_dir):
     count = tokenizers.bpe_count("r50k_base", _r50k())
     return table(spark, sf_dir, "documents").select("doc_id", count("text").alias("tokens"))
 
 
-@query()
+@query(_TOKENS)
 def bpe_tokens_relational(spark, sf_dir):
     return tokenizers.relational_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", _r50k())
 
 
+@query(_TOKENS.replace("coalesce(tokens, 0) AS tokens", "coalesce(tokens, 0) + 2 AS tokens"))
+def bpe_special_tokens(spark, sf_dir):
+    """Ids of texts between two special tokens, which are allowed and so one token each."""
+    encode = tokenizers.bpe_encode("r50k_base", _r50k(), allowed="all")
+    end = F.lit("<|endoftext|>")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(encode(F.concat(end, "text", end))).cast("long").alias("tokens"))
+
+
 @query()
 def spm_tokens_32k(spark, sf_dir):
     count = tokenizers.spm_count(f"{tokenizers.FOLDER}/piece_bpe_32k.model")
@@ -363,7 +469,7 @@ def encode_decode_roundtrip(spark, sf_dir):
     return docs.select("doc_id", T.digest(decoded("ids")).alias("digest"))
 
 
-@query()
+@query(f"{_MERGED} SELECT lang, 'bpe_r50k_base' AS name, CAST(SUM(tokens) AS BIGINT) AS tokens, true AS is_exact FROM per_doc GROUP BY lang")
 def bpe_report_by_lang(spark, sf_dir):
     """The report of one encoding, by language."""
     plan = methods.plan("r50k_base")
