@@ -4,15 +4,16 @@ A byte goes if a ``WINDOW``-byte string covers it that also starts earlier (smal
 earlier start). The corpus is cut into shards such that all equal windows meet in one of them:
 
 1. One pass finds every window's anchor (anchors.py), a string of ``GRAM`` bytes inside it. What an anchor's windows
-   can cover, ``WINDOW - GRAM`` bytes before it to ``WINDOW`` after its start, is its region. Anchors go, packed in
-   blobs, to the bucket of their gram's hash; of equal regions a task sends on only its first, the windows of the
-   others are repeats. A gram with many different regions in one task is dealt over all buckets.
+   can cover, ``WINDOW - GRAM`` bytes before it to ``WINDOW`` after its start, is its region, known by a cryptographic
+   digest of 128 bits (BLAKE2) of its bytes. Anchors go, packed in blobs, to the bucket of their gram's hash; of regions of
+   one digest a task sends on only its first, the windows of the others are repeats. A gram with many different regions in one task is dealt over all buckets.
 2. In its bucket the first of each region's occurrences stays, the others are repeats. Regions whose gram has
    other regions too, the edges of copies, are asked for.
-3. The regions asked for are cut out of the texts and dealt to shards by gram; each shard, which is held in memory,
-   is sorted by induced sorting (suffix_sort.py), whose queues are too short there to spill; suffixes with WINDOW bytes in common are one string, of which the first
-   occurrence stays. A gram with over ``HOT_REGIONS`` regions would be one unbounded shard: its windows are compared
-   by a shuffle on their 128-bit hashes.
+3. The regions asked for are cut out of the texts and dealt to shards by gram; a shard's bytes go to a scratch file as
+   they come, and are sorted there by external induced sorting (suffix_sort.py), in ``MEMORY_ENTRIES`` entries of memory and
+   some 60 bytes for each region; suffixes with WINDOW bytes in common are one string, of which the first
+   occurrence stays. A gram with over ``HOT_REGIONS`` regions, a common line with different surroundings, would be one shard that
+   only one task can sort: its windows are compared by a shuffle on their 128-bit hashes.
 4. Each document's repeats are merged and cut out.
 
 Results: a null or empty text, and one shorter than WINDOW, loses nothing. Rows with a null doc_id are no
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import scan
 from .anchors import anchors
 from .staging import staged
-from .suffix_sort import suffix_array
+from .suffix_sort import MEMORY_ENTRIES, Disk, sorted_suffixes
 
 WINDOW, GRAM = 100, 32
 SIDE = WINDOW - GRAM
@@ -79,15 +80,15 @@ def _gather(buckets: int, dealt_regions: int):
             if not count:
                 held, ids, docs = [], [], 0
                 return
-            gram, region, row, at, first, last = (np.concatenate(c) for c in zip(*held, strict=True))
+            gram, region, second, row, at, first, last = (np.concatenate(c) for c in zip(*held, strict=True))
             doc = np.concatenate(ids)
             # Documents in their order; rows that repeat are the same document.
             distinct, rank = np.unique(doc, return_inverse=True)
             row = rank[row].astype(np.uint64)
-            order = np.lexsort(((row << np.uint64(32)) | at, region, gram))
-            gram, region, row, at, first, last = (c[order] for c in (gram, region, row, at, first, last))
+            order = np.lexsort(((row << np.uint64(32)) | at, second, region, gram))
+            gram, region, second, row, at, first, last = (c[order] for c in (gram, region, second, row, at, first, last))
             new_gram = np.append(True, gram[1:] != gram[:-1])
-            new = new_gram | np.append(True, region[1:] != region[:-1])
+            new = new_gram | np.append(True, (region[1:] != region[:-1]) | (second[1:] != second[:-1]))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             again = ~new & ((row != row[lead]) | (at != at[lead]))
             parts, kinds, blobs = [], [], []
@@ -95,7 +96,7 @@ def _gather(buckets: int, dealt_regions: int):
                 parts.append(int(gram[0] % np.uint64(buckets)))
                 kinds.append(True)
                 blobs.append(_spans(distinct, row[again], first[again], last[again] + WINDOW))
-            gram, region, row, at, first, last, new_gram = (c[new] for c in (gram, region, row, at, first, last, new_gram))
+            gram, region, second, row, at, first, last, new_gram = (c[new] for c in (gram, region, second, row, at, first, last, new_gram))
             group = new_gram.cumsum() - 1
             dealt = (np.bincount(group) > dealt_regions)[group]
             bucket = np.where(dealt, scan.mix(gram ^ region), gram) % np.uint64(buckets)
@@ -103,16 +104,16 @@ def _gather(buckets: int, dealt_regions: int):
             marks = np.unique(gram[dealt])
             mark_bucket = marks % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                mine = order[cuts[b] : cuts[b + 1]]
+            for b in np.union1d(bucket, mark_bucket).tolist():  # those that get something
+                low, high = np.searchsorted(bucket, np.uint64(b), "left", order), np.searchsorted(bucket, np.uint64(b), "right", order)
+                mine = order[low:high]
                 marked = marks[mark_bucket == np.uint64(b)] if len(marks) else marks
                 if len(mine) or len(marked):
                     own, place = np.unique(row[mine].astype(np.int64), return_inverse=True)
                     used = distinct[own]
                     parts.append(b)
                     kinds.append(False)
-                    blobs.append(_pack(gram[mine], region[mine], place.astype(np.uint32), at[mine].astype(np.uint32), (at[mine] - first[mine]).astype(np.uint8), (last[mine] - first[mine]).astype(np.uint8), dealt[mine].astype(np.uint8), used["id"].view(np.uint64), used["h"].view(np.uint64), marked))
+                    blobs.append(_pack(gram[mine], region[mine], second[mine], place.astype(np.uint32), at[mine].astype(np.uint32), (at[mine] - first[mine]).astype(np.uint8), (last[mine] - first[mine]).astype(np.uint8), dealt[mine].astype(np.uint8), used["id"].view(np.uint64), used["h"].view(np.uint64), marked))
             held, ids, docs, count = [], [], 0, 0
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "spans", "blob"])
 
@@ -123,9 +124,12 @@ def _gather(buckets: int, dealt_regions: int):
                 at, first, last, gram = anchors(data, off, WINDOW, GRAM)
                 row = np.searchsorted(off, at, "right") - 1
                 begin, end = np.maximum(at - SIDE, off[row]), np.minimum(at + WINDOW, off[row + 1])
-                region = scan.mix(scan.range_hash(scan.prefix_hash(data), begin, end) + (at - begin).astype(np.uint64))
+                raw = data.tobytes()
+                digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+                halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+                region, second = halves[:, 0] ^ scan.mix((at - begin).astype(np.uint64)), halves[:, 1].copy()
                 base = off[row]
-                held.append((gram, region, row + docs, (at - base).astype(np.uint64), (first - base).astype(np.uint64), (last - base).astype(np.uint64)))
+                held.append((gram, region, second, row + docs, (at - base).astype(np.uint64), (first - base).astype(np.uint64), (last - base).astype(np.uint64)))
                 ids.append(doc[i:j])
                 docs += j - i
                 count += len(at)
@@ -162,7 +166,7 @@ def _found(docs: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarra
 def _settle(table: pa.Table, hot_regions: int) -> pa.Table:
     """One bucket: spans of the occurrences after a region's first; requests (anchor not null) for regions in company."""
     out = []
-    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    columns: list[list[np.ndarray]] = [[] for _ in range(8)]
     ids, marks, docs = [], [], 0
     for is_span, blob in zip(table.column("spans").to_pylist(), table.column("blob"), strict=True):
         got = _unpack(blob.as_py())
@@ -171,24 +175,24 @@ def _settle(table: pa.Table, hot_regions: int) -> pa.Table:
             both["id"], both["h"] = got[0].view(np.int64), got[1].view(np.int64)
             out.append(_found(both, np.arange(len(both)), got[2], got[3], None, None, None))
             continue
-        gram, region, place, at, back, wide, dealt, own, h, marked = got
+        gram, region, second, place, at, back, wide, dealt, own, h, marked = got
         both = np.empty(len(own), _DOC)
         both["id"], both["h"] = own.view(np.int64), h.view(np.int64)
         ids.append(both)
         marks.append(marked)
-        for col, x in zip(columns, (gram, region, place.astype(np.int64) + docs, at, back, wide, dealt), strict=True):
+        for col, x in zip(columns, (gram, region, second, place.astype(np.int64) + docs, at, back, wide, dealt), strict=True):
             col.append(x)
         docs += len(own)
     if ids:
-        gram, region, row, at, back, wide, dealt = (np.concatenate(c) for c in columns)
+        gram, region, second, row, at, back, wide, dealt = (np.concatenate(c) for c in columns)
         known, rank = np.unique(np.concatenate(ids), return_inverse=True)
         row = rank[row]
-        order = np.lexsort(((row.astype(np.uint64) << np.uint64(32)) | at, region, gram))
-        gram, region, row, at, back, wide, dealt = (c[order] for c in (gram, region, row, at, back, wide, dealt))
+        order = np.lexsort(((row.astype(np.uint64) << np.uint64(32)) | at, second, region, gram))
+        gram, region, second, row, at, back, wide, dealt = (c[order] for c in (gram, region, second, row, at, back, wide, dealt))
         at, first = at.astype(np.int64), at.astype(np.int64) - back
         last = first + wide
         new_gram = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
-        new = new_gram | np.append(True, region[1:] != region[:-1])[: len(gram)]
+        new = new_gram | np.append(True, (region[1:] != region[:-1]) | (second[1:] != second[:-1]))[: len(gram)]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.zeros(0, np.int64)
         again = ~new & ((row != row[lead]) | (at != at[lead]))
         if again.any():
@@ -258,60 +262,104 @@ def _cut(shards: int):
 _SPAN = "doc_id long, h long, start long, stop long"
 
 
-def shard_repeats(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, gram: np.ndarray, pieces: list[bytes], memory_entries: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, window start in its text) of every window in the pieces that also starts earlier.
+class Shard:
+    """A shard's regions as they come: their bytes on disk, their places in memory."""
 
-    doc orders the documents. Piece i starts at first[i] of its text and has an anchor at anchor[i]. A window
-    reaches SIDE / 2 bytes or more to one side of its anchor's gram, so pieces that share neither side's bytes of
-    that length with another piece of the gram can't share a window; they don't enter the suffix array.
-    """
-    half = SIDE // 2
-    size = np.array([len(p) for p in pieces], np.int64)
-    base = np.concatenate([[0], np.cumsum(size)])
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    prefix = scan.prefix_hash(data)
-    mid = base[:-1] + anchor - first
-    shared = []
-    for a, b in ((mid - half, mid + GRAM), (mid, mid + GRAM + half)):
-        ok = (a >= base[:-1]) & (b <= base[1:])
-        key = np.where(ok, scan.range_hash(prefix, np.where(ok, a, 0), np.where(ok, b, 0)) ^ gram, 0)
-        _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-        shared.append(ok & (n[inverse] > 1))
-    low = np.where(shared[0], base[:-1], np.maximum(base[:-1], mid - half))
-    high = np.where(shared[1], base[1:] - WINDOW, np.minimum(base[1:] - WINDOW, mid - half))
-    use = np.flatnonzero((shared[0] | shared[1]) & (low <= high))
-    if len(use) < 2:
-        return use[:0], use[:0]
-    low, wide = low[use], high[use] + WINDOW - low[use]
-    at = np.concatenate([[0], np.cumsum(wide + 1)])
-    source = np.repeat(low - at[:-1], wide + 1) + np.arange(at[-1])
-    text = np.append(data, 0)[source].astype(np.uint16) + np.uint16(1)
-    text[at[1:] - 1] = 0
-    pos, lcp = suffix_array(text, WINDOW, memory_entries)
-    piece = np.searchsorted(at, pos, "right") - 1
-    inside = pos - at[piece] <= wide[piece] - WINDOW
-    string = (lcp < WINDOW).cumsum()[inside]
-    pos, piece = pos[inside], piece[inside]
-    start = pos - at[piece] + (low - base[use])[piece] + first[use][piece]
-    owner = doc[use][piece]
-    order = np.lexsort((start, owner, string))
-    string, owner, start, piece = string[order], owner[order], start[order], piece[order]
-    new = np.append(True, string[1:] != string[:-1])[: len(string)]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    again = (owner != owner[lead]) | (start != start[lead])
-    return use[piece[again]], start[again]
-
-
-def _sort_shard(table: pa.Table) -> pa.Table:
-    both = np.empty(table.num_rows, _DOC)
-    both["id"], both["h"] = table.column("doc_id").to_numpy(), table.column("h").to_numpy()
-    known, rank = np.unique(both, return_inverse=True)
-    column = lambda c: table.column(c).to_numpy()
-    piece, start = shard_repeats(rank, column("first"), column("anchor"), column("gram").view(np.uint64), table.column("piece").to_pylist())
-    if not len(piece):
-        return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "h", "start", "stop")})
-    ids, h, a, b = _unpack(_spans(known, rank[piece], start, start + WINDOW))
-    return pa.table({"doc_id": scan.int64(ids), "h": scan.int64(h), "start": scan.int64(a), "stop": scan.int64(b)})
+    def __init__(self, memory_entries: int = MEMORY_ENTRIES) -> None:
+        self.disk = Disk(memory_entries)
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(8)]
+
+    def take(self, batches: Iterator[pa.RecordBatch]) -> None:
+        """Keep the batches' pieces, and of each side of each anchor a hash of the bytes that a window there must hold."""
+        self.data = self.disk.stored(self._bytes(batches), np.uint8)
+        self.gram, self.doc_id, self.h, self.first, self.anchor, self.size, self.left, self.right = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in self.columns)
+
+    def _bytes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        half = SIDE // 2
+        for batch in batches:
+            pieces = batch.column(batch.schema.get_field_index("piece")).to_pylist()
+            own = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("gram", "doc_id", "h", "first", "anchor")]
+            size = np.array([len(p) for p in pieces], np.int64)
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            base = np.concatenate([[0], np.cumsum(size)])
+            prefix, mid, sides = scan.prefix_hash(data), base[:-1] + own[4] - own[3], []
+            for a, b in ((mid - half, mid + GRAM), (mid, mid + GRAM + half)):
+                ok = (a >= base[:-1]) & (b <= base[1:])
+                key = scan.range_hash(prefix, np.where(ok, a, 0), np.where(ok, b, 0)) ^ own[0].view(np.uint64)
+                sides.append(np.where(ok, key | np.uint64(1), 0))
+            for column, x in zip(self.columns, (*own, size, *sides), strict=True):
+                column.append(x)
+            yield data
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (piece, window start in its text) of windows that also start earlier.
+
+        A window reaches SIDE / 2 bytes or more to one side of its anchor's gram, so pieces that share neither side's
+        bytes of that length with another piece of the gram can't share a window; they don't enter the suffix array.
+        """
+        half = SIDE // 2
+        base = np.concatenate([[0], np.cumsum(self.size)])
+        mid = base[:-1] + self.anchor - self.first
+        shared = []
+        for key in (self.left, self.right):
+            _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+            shared.append((key != 0) & (n[inverse] > 1))
+        low = np.where(shared[0], base[:-1], np.maximum(base[:-1], mid - half))
+        high = np.where(shared[1], base[1:] - WINDOW, np.minimum(base[1:] - WINDOW, mid - half))
+        use = np.flatnonzero((shared[0] | shared[1]) & (low <= high))
+        if len(use) < 2:
+            return
+        low, wide = low[use], high[use] + WINDOW - low[use]
+        at = np.concatenate([[0], np.cumsum(wide + 1)])
+        text = self.disk.stored(self._symbols(low, wide, at), np.uint16)
+        _, owner = np.unique(self._documents(), return_inverse=True)
+        owner, start_of = owner[use], low - base[use] + self.first[use]
+        number, lead = -1, None  # the string that a block begins with, and its first occurrence so far
+        for pos, lcp in sorted_suffixes(text, WINDOW, self.disk):
+            piece = np.searchsorted(at, pos, "right") - 1
+            inside = pos - at[piece] <= wide[piece] - WINDOW
+            string = number + (lcp < WINDOW).cumsum()
+            number = int(string[-1])
+            pos, piece, string = pos[inside], piece[inside], string[inside]
+            who, start = owner[piece], pos - at[piece] + start_of[piece]
+            if lead is not None:
+                string, who, start, piece = (np.append(x, y) for x, y in zip((string, who, start, piece), lead, strict=True))
+            if not len(string):
+                continue
+            order = np.lexsort((start, who, string))
+            string, who, start, piece = string[order], who[order], start[order], piece[order]
+            new = np.append(True, string[1:] != string[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            again = (who != who[head]) | (start != start[head])
+            lead = tuple(x[head[-1]] for x in (string, who, start, piece)) if string[-1] == number else None
+            if again.any():
+                yield use[piece[again]], start[again]
+
+    def _documents(self) -> np.ndarray:
+        both = np.empty(len(self.doc_id), _DOC)
+        both["id"], both["h"] = self.doc_id, self.h
+        return both
+
+    def _symbols(self, low: np.ndarray, wide: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The pieces' bytes as symbols from 1 on, a 0 after each, some at a time."""
+        i = 0
+        while i < len(low):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + self.disk.block, "right")) - 1)
+            source = np.repeat(low[i:j] - (at[i:j] - at[i]), wide[i:j] + 1) + np.arange(at[j] - at[i])
+            symbols = self.data[np.minimum(source, len(self.data) - 1)].astype(np.uint16) + np.uint16(1)
+            symbols[at[i + 1 : j + 1] - 1 - at[i]] = 0
+            yield symbols
+            i = j
+
+
+def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard = Shard()
+    shard.take(batches)
+    documents = shard._documents()
+    for piece, start in shard.repeats():
+        known, rank = np.unique(documents[piece], return_inverse=True)
+        ids, h, a, b = _unpack(_spans(known, rank, start, start + WINDOW))
+        yield pa.RecordBatch.from_arrays([scan.int64(x) for x in (ids, h, a, b)], names=["doc_id", "h", "start", "stop"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

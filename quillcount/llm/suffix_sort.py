@@ -2,76 +2,404 @@
 
 A suffix is left (L) if it is larger than the one after it, else S; an S after an L is a star. Stars split the
 text into star substrings. These are sorted by inducing, named, and, unless all names differ, the sequence of
-names is sorted by recursion. From the sorted stars all left suffixes follow in one ascending pass, from those
-all S suffixes in one descending pass: whenever a suffix leaves the queue of its first symbol, the one before it
-in the text enters the queue of its own, with a common-prefix length of one more than the smallest that has
-passed since that queue's last entry.
+names is sorted by recursion, in the same way and at every alphabet. From the sorted stars all left suffixes follow in
+one ascending pass, from those all S suffixes in one descending pass: whenever a suffix leaves the queue of its first
+symbol, the one before it in the text enters the queue of its own. In the last induction of the text itself the tuples
+also carry common-prefix lengths: one more than the smallest that has passed since the target queue's last entry.
 
 A symbol's queue receives its entries in their final order, so the priority queue of all (symbol, rank) tuples
-is one first-in-first-out queue for each symbol. ``Spool`` keeps them: beyond ``memory_entries`` their blocks go to
-a scratch file, which is a task's own and ends with it, as a sort's spill does; a repeated task begins anew.
-Nothing here loops over entries: each step handles all entries that a queue holds. Text, left suffixes and the
-result are arrays in memory at all times; only the queues spill.
+is a first-in-first-out queue for each symbol, or, where symbols are many, for each range of symbols with at most a
+block of suffixes; the order inside a range is found when the pass comes to it (``_settled``). Queues, left suffixes, stars, results
+are logs of blocks. All logs of a sort share one ``Disk``: beyond ``memory_entries`` entries in memory, blocks go to its scratch
+file, and whole arrays (texts of names, star positions) that are longer than that are memory maps of such files. So
+memory is a small multiple of ``memory_entries``, whatever the length of the text. A scratch file has no name, lies
+where Spark lets its workers spill, and ends with its task; a repeated task begins anew.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from . import scan
+#: Entries of all logs of a sort that are held in memory.
+MEMORY_ENTRIES = 1 << 17
+#: Alphabets up to this size have a queue for each symbol.
+SYMBOL_QUEUES = 1024
 
-#: Recursion by queues as long as the names are few; beyond it the names' sequence is ranked by doubling.
-QUEUE_SYMBOLS = 2048
-MEMORY_ENTRIES = 1 << 24
+Block = tuple[np.ndarray, ...]
 
 
-class Spool:
-    """One queue of (position, common prefix) blocks for each symbol; the oldest blocks go to disk when memory is full."""
+def scratch_file():
+    """A nameless file in the folder that Spark gives its workers to spill to."""
+    folders = [f for f in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(f)]
+    return tempfile.TemporaryFile(dir=folders[0] if folders else None)
 
-    def __init__(self, symbols: int, memory_entries: int) -> None:
-        self.blocks: list[list] = [[] for _ in range(symbols)]
-        self.limit, self.held, self.spilled = memory_entries, 0, 0
-        self.file = None
 
-    def push(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        if self.held + len(pos) > self.limit:
-            self._spill()
-        self.blocks[symbol].append((pos, lcp))
-        self.held += len(pos)
+class Disk:
+    """What a sort's logs hold in memory, and the scratch file that takes the rest."""
 
-    def _spill(self) -> None:
+    def __init__(self, limit: int) -> None:
+        self.limit, self.held, self.most, self.spilled = max(limit, 8), 0, 0, 0
+        self.file, self.end = None, 0
+        self.logs: set[Log] = set()
+
+    @property
+    def block(self) -> int:
+        return max(2, self.limit // 4)
+
+    def room(self, n: int) -> None:
+        if self.held + n > self.limit:
+            for log in self.logs:
+                log.spill()
+            self.logs.clear()
+        self.most = max(self.most, self.held + n)
+
+    def put(self, block: Block) -> tuple:
         if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for queue in self.blocks:
-            for i, block in enumerate(queue):
-                if isinstance(block[0], np.ndarray):
-                    at = self.file.tell()
-                    self.file.write(block[0].astype(np.int64).tobytes() + block[1].astype(np.uint8).tobytes())
-                    queue[i] = (at, len(block[0]))
-        self.spilled += self.held
-        self.held = 0
-
-    def _load(self, block: tuple) -> tuple[np.ndarray, np.ndarray]:
-        if isinstance(block[0], np.ndarray):
-            return block
-        self.file.seek(block[0])
-        return np.frombuffer(self.file.read(8 * block[1]), np.int64), np.frombuffer(self.file.read(block[1]), np.uint8)
-
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All that the queue of ``symbol`` holds now, in order."""
-        blocks, self.blocks[symbol] = self.blocks[symbol], []
-        if not blocks:
-            return None
-        self.held -= sum(len(b[0]) for b in blocks if isinstance(b[0], np.ndarray))
-        loaded = [self._load(b) for b in blocks]
-        return np.concatenate([b[0] for b in loaded]), np.concatenate([b[1] for b in loaded])
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
+            self.file = scratch_file()
+        at = self.end
+        self.file.seek(at)
+        for column in block:
+            self.file.write(memoryview(np.ascontiguousarray(column)).cast("B"))
+        self.end = self.file.tell()
+        self.spilled += len(block[0])
+        return at, len(block[0]), tuple(c.dtype for c in block)
+
+    def get(self, place: tuple) -> Block:
+        at, n, kinds = place
+        self.file.seek(at)
+        return tuple(np.frombuffer(self.file.read(n * k.itemsize), k) for k in kinds)
+
+    def stored(self, parts: Iterator[np.ndarray], dtype) -> np.ndarray:
+        """The parts as one array: in memory if it's short, else a memory map."""
+        held, n, file = [], 0, None
+        for part in parts:
+            part = np.ascontiguousarray(part, dtype)
+            n += len(part)
+            if file is None and n > self.limit:
+                file = scratch_file()
+                for old in held:
+                    file.write(memoryview(old).cast("B"))
+                held = []
+            if file is None:
+                held.append(part)
+            elif len(part):
+                file.write(memoryview(part).cast("B"))
+        if file is None:
+            return np.concatenate(held) if held else np.zeros(0, dtype)
+        file.flush()
+        self.spilled += n
+        return np.memmap(file, dtype, "r+", shape=(n,))
+
+    def empty(self, n: int, dtype) -> np.ndarray:
+        if n <= self.limit:
+            return np.zeros(n, dtype)
+        file = scratch_file()
+        file.truncate(n * np.dtype(dtype).itemsize)
+        return np.memmap(file, dtype, "r+", shape=(n,))
+
+
+class Log:
+    """Blocks of parallel arrays, in the order in which they came."""
+
+    def __init__(self, disk: Disk) -> None:
+        self.disk, self.blocks = disk, deque()
+
+    def append(self, *columns: np.ndarray) -> None:
+        for i in range(0, len(columns[0]), self.disk.block):
+            block = tuple(c[i : i + self.disk.block] for c in columns)
+            self.disk.room(len(block[0]))
+            self.disk.held += len(block[0])
+            self.disk.logs.add(self)
+            self.blocks.append(block)
+
+    def spill(self) -> None:
+        """To disk with the blocks in memory, neighbours as one."""
+        kept: deque = deque()
+        while self.blocks:
+            run = self._run(self.blocks.popleft, 0, isinstance(self.blocks[0][0], np.ndarray))
+            if isinstance(run[0][0], np.ndarray):
+                self.disk.held -= sum(len(x[0]) for x in run)
+                run = [self.disk.put(_joined(run))]
+            kept.extend(run)
+        self.blocks = kept
+
+    def _run(self, take: Callable, end: int, in_memory: bool | None = None) -> list:
+        """Blocks from one end, a block's entries of them at most, or the first."""
+        run, n = [], 0
+        while self.blocks:
+            block = self.blocks[end]
+            here = isinstance(block[0], np.ndarray)
+            size = len(block[0]) if here else block[1]
+            if run and (n + size > self.disk.block or in_memory is not None and here is not in_memory):
+                break
+            run.append(take())
+            n += size
+        return run
+
+    def _loaded(self, run: list) -> Block:
+        self.disk.held -= sum(len(x[0]) for x in run if isinstance(x[0], np.ndarray))
+        return _joined([x if isinstance(x[0], np.ndarray) else self.disk.get(x) for x in run])
+
+    def drained(self) -> Iterator[Block]:
+        """The entries in order, also those that come while it runs; each is forgotten."""
+        while self.blocks:
+            yield self._loaded(self._run(self.blocks.popleft, 0))
+
+    def drained_back(self) -> Iterator[Block]:
+        while self.blocks:
+            run = self._run(self.blocks.pop, -1)
+            yield tuple(c[::-1] for c in self._loaded(run[::-1]))
+
+    def forget(self) -> None:
+        for _ in self.drained():
+            pass
+
+    def shifted_back(self, first: int) -> Iterator[Block]:
+        """(position, length) backwards, each with the length that was its follower's; the first with ``first``."""
+        for pos, lcp in self.drained_back():
+            yield pos, np.concatenate([np.array([first], np.uint8), lcp[:-1]])
+            first = lcp[-1]
+
+
+def _joined(blocks: list[Block]) -> Block:
+    return blocks[0] if len(blocks) == 1 else tuple(np.concatenate(c) for c in zip(*blocks, strict=True))
+
+
+def _ranges(n: int, step: int) -> Iterator[tuple[int, int]]:
+    for i in range(0, n, step):
+        yield i, min(n, i + step)
+
+
+def _before(text: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The symbols before ``pos``; a text on disk is read in its own order. Position 0 has none (any symbol)."""
+    at = np.maximum(pos - 1, 0)
+    if not isinstance(text, np.memmap):
+        return text[at].astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    out = np.empty(len(at), np.int64)
+    out[order] = text[at[order]]
+    return out
+
+
+def _stars(text: np.ndarray, disk: Disk) -> np.ndarray:
+    """Positions of the stars, ascending."""
+    found, n = Log(disk), len(text)
+    follower, small = -1, False  # first symbol and kind of what follows the block; the last suffix is left
+    for i, j in [*_ranges(n, disk.block)][::-1]:
+        t = np.append(np.asarray(text[i:j], np.int64), follower)
+        m = j - i
+        breaks = np.flatnonzero(t[1:] != t[:-1])
+        run_end = np.searchsorted(breaks, np.arange(m))
+        inside = run_end < len(breaks)
+        at = breaks[np.minimum(run_end, len(breaks) - 1)] if len(breaks) else np.zeros(m, np.int64)
+        s = np.where(inside, t[at] < t[at + 1], small) if len(breaks) else np.full(m, small)
+        if i > 0:
+            star = s & (np.asarray(text[i - 1 : j - 1], np.int64) > t[:-1])
+        else:
+            star = s & np.concatenate([[False], t[:-2] > t[1:-1]])
+        follower, small = int(t[0]), bool(s[0])
+        found.append(np.flatnonzero(star)[::-1] + i)
+    return disk.stored((b[0] for b in found.drained_back()), np.int64)
+
+
+def _edges(text: np.ndarray, disk: Disk) -> np.ndarray:
+    """Borders of ranges of symbols: every symbol, or ranges with a block of suffixes at most, or one symbol that has more."""
+    top = max(int(text[i:j].max()) for i, j in _ranges(len(text), disk.block))
+    if top < SYMBOL_QUEUES:
+        return np.arange(top + 2)
+    counts = disk.empty(top + 1, np.int64)
+    for i, j in _ranges(len(text), disk.block):
+        symbol, n = np.unique(text[i:j], return_counts=True)
+        counts[symbol] += n
+    edges, held = [0], 0  # held: suffixes from the last border on
+    for i, j in _ranges(top + 1, disk.block):
+        sums = np.concatenate([[0], np.cumsum(counts[i:j])])
+        at = 0
+        while held + sums[-1] - sums[at] > disk.block:
+            k = int(np.searchsorted(sums, sums[at] + disk.block - held, "right")) - 1  # symbols i + at .. i + k - 1 still fit
+            if i + k <= edges[-1]:
+                k = edges[-1] + 1 - i
+                if k > j - i:
+                    break
+            if i + k > edges[-1]:
+                edges.append(i + k)
+            at, held = k, 0
+            if k == j - i:
+                break
+        held += int(sums[-1] - sums[at])
+    if edges[-1] < top + 1:
+        edges.append(top + 1)
+    return np.array(edges)
+
+
+def _settled(text: np.ndarray, pos: np.ndarray, key: np.ndarray, fixed: np.ndarray, low: int, high: int, sign: int) -> Block:
+    """(position, key, whether fixed) of a range of symbols in the order in which they pass; a key is sign * symbol.
+
+    ``pos`` are a queue's entries by arrival and then the fixed ones; what they induce inside the range is found first.
+    An entry's place is by key, the queue's before the fixed, arrived before induced, and then by its inducer's
+    place; sorted once more for each step of the longest chain of induced entries, all places are right.
+    """
+    parent, level, steps = np.full(len(pos), -1), np.arange(len(pos)), 0
+    while len(level):
+        before = sign * _before(text, pos[level])
+        more = (pos[level] > 0) & (before >= low) & (before <= high) & np.where(fixed[level], before > key[level], before >= key[level])
+        up = level[more]
+        level = len(pos) + np.arange(len(up))
+        pos, key = np.append(pos, pos[up] - 1), np.append(key, before[more])
+        fixed, parent = np.append(fixed, np.zeros(len(up), bool)), np.append(parent, up)
+        steps += 1
+    induced = parent >= 0
+    tie = np.where(induced, 0, np.arange(len(pos)))
+    place = np.empty(len(pos), np.int64)
+    for _ in range(steps + 1):
+        order = np.lexsort((tie, induced, fixed, key))
+        place[order] = np.arange(len(pos))
+        again = place[parent[induced]]
+        if (tie[induced] == again).all():
+            break
+        tie[induced] = again
+    return pos[order], key[order], fixed[order]
+
+
+def _pass(text: np.ndarray, edges: np.ndarray, sign: int, queues: dict[int, Log], fixed: dict[int, Log], sink: Callable, disk: Disk) -> None:
+    """One induction: sign 1 ascending, from stars to left suffixes; -1 descending, from left suffixes to the others.
+
+    What passes in range b goes to sink(b, positions, symbols, whether fixed), in order.
+    """
+
+    def passed(b: int, pos: np.ndarray, symbol: np.ndarray, held: np.ndarray, settled: bool) -> None:
+        sink(b, pos, symbol, held)
+        before = _before(text, pos)
+        later = np.where(held, sign * before > sign * symbol, sign * before >= sign * symbol) & (pos > 0)
+        bucket = np.searchsorted(edges, before, "right") - 1
+        if settled:  # what is induced inside the range has passed with it
+            later &= bucket != b
+        at = np.flatnonzero(later)
+        at = at[np.argsort(bucket[at], kind="stable")]
+        for some in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else ():
+            queues.setdefault(int(bucket[some[0]]), Log(disk)).append(pos[some] - 1, before[some])
+
+    for b in range(len(edges) - 1)[::sign]:
+        logs = [queues.setdefault(b, Log(disk)), fixed.get(b, Log(disk))]
+        if edges[b + 1] - edges[b] == 1:
+            for held, log in zip((False, True), logs, strict=True):
+                for pos, symbol in log.drained():
+                    passed(b, pos, symbol, np.full(len(pos), held), False)
+        else:
+            found = [[*log.drained()] for log in logs]
+            if found[0] or found[1]:
+                pos, symbol = (np.concatenate(c) for c in zip(*found[0], *found[1], strict=True))
+                held = np.arange(len(pos)) >= sum(len(x[0]) for x in found[0])
+                low, high = sorted((sign * int(edges[b]), sign * (int(edges[b + 1]) - 1)))
+                pos, key, held = _settled(text, pos, sign * symbol, held, low, high, sign)
+                for i, j in _ranges(len(pos), disk.block):
+                    passed(b, pos[i:j], sign * key[i:j], held[i:j], True)
+        queues.pop(b, None)
+
+
+def _by_range(blocks: Iterator[np.ndarray], text: np.ndarray, edges: np.ndarray, disk: Disk) -> dict[int, Log]:
+    """Positions in a log for each range of their first symbols, in order of arrival."""
+    out: dict[int, Log] = {}
+    for pos in blocks:
+        symbol = _before(text, pos + 1)
+        bucket = np.searchsorted(edges, symbol, "right") - 1
+        order = np.argsort(bucket, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+            out.setdefault(int(bucket[some[0]]), Log(disk)).append(pos[some], symbol[some])
+    return out
+
+
+def _induced(text: np.ndarray, edges: np.ndarray, stars: Iterator[np.ndarray], disk: Disk, stars_only: bool) -> Log:
+    """All suffixes, or the stars among them, in descending order, from stars in an order of their first symbols."""
+    left: dict[int, Log] = {}
+    out = Log(disk)
+    n = len(text)
+
+    def to_left(b: int, pos: np.ndarray, symbol: np.ndarray, held: np.ndarray) -> None:
+        if not held.all():
+            left.setdefault(b, Log(disk)).append(pos[~held], symbol[~held])
+
+    def to_out(b: int, pos: np.ndarray, symbol: np.ndarray, held: np.ndarray) -> None:
+        if stars_only:  # a suffix that isn't left, after a larger symbol
+            pos = pos[~held & (pos > 0) & (_before(text, pos) > symbol)]
+        out.append(pos)
+
+    last = int(np.searchsorted(edges, int(text[n - 1]), "right")) - 1
+    queues = {last: Log(disk)}
+    queues[last].append(np.array([n - 1]), np.array([int(text[n - 1])]))
+    _pass(text, edges, 1, queues, _by_range(stars, text, edges, disk), to_left, disk)
+    back = {}
+    for b, log in left.items():
+        back[b] = Log(disk)
+        for block in log.drained_back():
+            back[b].append(*block)
+    _pass(text, edges, -1, {}, back, to_out, disk)
+    return out
+
+
+def _ends(star: np.ndarray, stars: np.ndarray, n: int) -> np.ndarray:
+    """Where the substrings of some stars end: with the first symbol of the next star; the last one with the text."""
+    at = np.searchsorted(stars, star) + 1
+    return np.where(at < len(stars), np.asarray(stars[np.minimum(at, len(stars) - 1)]) + 1, n)
+
+
+def _agree(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at a and b have in common, up to ``most``, by comparison."""
+    out = most.copy()
+    live = np.flatnonzero(most > 0)
+    k = 0
+    while len(live):
+        same = _before(text, a[live] + k + 1) == _before(text, b[live] + k + 1)
+        out[live[~same]] = k
+        k += 1
+        live = live[same]
+        live = live[most[live] > k]
+    return out
+
+
+def _sorted_stars(text: np.ndarray, cap: int, disk: Disk) -> tuple[Callable[[], Iterator[np.ndarray]], int]:
+    """(blocks of the stars in order, their number); stars that agree in cap symbols may stand in any order."""
+    n = len(text)
+    stars = _stars(text, disk)
+    if len(stars) < 2:
+        return lambda: iter([np.asarray(stars)]), len(stars)
+    edges = _edges(text, disk)
+    log = _induced(text, edges, (np.asarray(stars[i:j]) for i, j in _ranges(len(stars), disk.block)), disk, True)
+    names, name, last = disk.empty(len(stars), np.int64), -1, None
+    order_of_stars = Log(disk)
+    for (pos,) in log.drained_back():
+        order_of_stars.append(pos)
+        chain = pos if last is None else np.concatenate([[last], pos])
+        end = _ends(chain, stars, n)
+        size = np.minimum(end - chain, cap)
+        final = end == n  # it reaches the end of the text and has no equal, if it isn't longer than cap
+        even = (size[1:] == size[:-1]) & (~(final[1:] | final[:-1]) | (size[1:] == cap))
+        equal = np.zeros(len(even), bool)
+        at = np.flatnonzero(even)
+        equal[at] = _agree(text, chain[:-1][at], chain[1:][at], size[1:][at]) == size[1:][at]
+        new = ~equal if last is not None else np.concatenate([[True], ~equal])
+        number = name + new.cumsum()
+        where = np.searchsorted(stars, pos)
+        order = np.argsort(where)
+        names[where[order]] = number[order]
+        name, last = int(number[-1]), pos[-1]
+    if name + 1 == len(stars):
+        return lambda: (b[0] for b in order_of_stars.drained()), len(stars)
+    order_of_stars.forget()
+    ranked, _ = _order(names, cap // 2 + 2, disk)
+    return lambda: (np.asarray(stars[by]) if not isinstance(stars, np.memmap) else _before(stars, by + 1) for by in ranked()), len(stars)
+
+
+def _order(text: np.ndarray, cap: int, disk: Disk) -> tuple[Callable[[], Iterator[np.ndarray]], int]:
+    """Blocks of all suffixes in order, those that agree in cap symbols in any order among themselves."""
+    stars, _ = _sorted_stars(text, cap, disk)
+    out = _induced(text, _edges(text, disk), stars(), disk, False)
+    return lambda: (b[0] for b in out.drained_back()), len(text)
 
 
 class _Passed:
@@ -106,145 +434,94 @@ class _Passed:
         return np.minimum(out.astype(np.int16) + 1, self.cap).astype(np.uint8)
 
 
-def _runs(text: np.ndarray) -> np.ndarray:
-    """How often the symbol of each position repeats from there on."""
-    n = len(text)
-    breaks = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    return np.repeat(breaks, np.diff(np.concatenate([[-1], breaks]))) - np.arange(n) + 1
+def _with_lengths(text: np.ndarray, top: int, stars: dict[int, Log], cap: int, disk: Disk) -> Log:
+    """(position, common prefix with the one passed before) of all suffixes, descending, from the sorted stars of each symbol."""
+    queues = {c: Log(disk) for c in range(top)}
+    left: dict[int, Log] = {}
+    ends: dict[int, int] = {}  # the largest left suffix of each symbol
+    out = Log(disk)
 
+    def run(at: int) -> int:
+        part = np.asarray(text[at : at + cap])
+        other = np.flatnonzero(part != part[0])
+        return int(other[0]) if len(other) else len(part)
 
-def _induce(text: np.ndarray, symbols: np.ndarray, runs: np.ndarray, stars: np.ndarray, star_lcp: np.ndarray, cap: int, memory_entries: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, common prefixes with the one before) of all suffixes, from the sorted stars."""
-    top = int(symbols[-1]) + 1
-    seam = lambda a, b: min(int(runs[a]), int(runs[b]), cap)
-    bounds = np.searchsorted(text[stars], np.arange(top + 1))
-    spool, passed = Spool(top, memory_entries), _Passed(top, cap)
-    left: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def forward(pos: np.ndarray, lcp: np.ndarray, wanted) -> None:
+    def forward(passed: _Passed, pos: np.ndarray, lcp: np.ndarray, wanted: Callable) -> None:
         """Pass a block on: the suffixes before its own, where ``wanted`` says so, enter their queues."""
-        before = text[np.maximum(pos - 1, 0)].astype(np.int64)
+        before = _before(text, pos)
         ok = np.flatnonzero((pos > 0) & wanted(before))
-        order = ok[np.argsort(before[ok].astype(np.uint16 if top <= 65536 else np.int64), kind="stable")]
+        order = ok[np.argsort(before[ok].astype(np.uint16), kind="stable")]
         targets = before[order]
         lengths = passed.lengths(lcp, targets, order)
-        cuts = np.concatenate([[0], np.flatnonzero(targets[1:] != targets[:-1]) + 1, [len(targets)]]) if len(targets) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            spool.push(int(targets[a]), pos[order[a:b]] - 1, lengths[a:b])
-
-    spool.push(int(text[-1]), np.array([len(text) - 1]), np.zeros(1, np.uint8))
-    for c in symbols.tolist():
-        kept = []
-        while (block := spool.pop(c)) is not None:
-            pos, lcp = block
-            if not kept:
-                lcp = lcp.copy()
-                lcp[0] = 0
-            kept.append((pos, lcp))
-            forward(pos, lcp, lambda before, c=c: before >= c)
-        if kept:
-            left[c] = np.concatenate([p for p, _ in kept]), np.concatenate([x for _, x in kept])
-        a, b = bounds[c], bounds[c + 1]
-        if b > a:
-            lcp = star_lcp[a:b].copy()
-            lcp[0] = seam(left[c][0][-1], stars[a]) if kept else 0
-            forward(stars[a:b], lcp, lambda before, c=c: before > c)
+        for some in np.split(np.arange(len(order)), np.flatnonzero(np.diff(targets)) + 1) if len(order) else ():
+            queues[int(targets[some[0]])].append(pos[order[some]] - 1, lengths[some])
+
+    def opened(blocks: Iterator[Block], first: int) -> Iterator[Block]:
+        """The blocks, their very first length replaced."""
+        for pos, lcp in blocks:
+            if first is not None:
+                lcp, first = np.concatenate([np.array([first], np.uint8), lcp[1:]]), None
+            yield pos, lcp
 
     passed = _Passed(top, cap)
-    pieces: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in symbols[::-1].tolist():
-        kept = []
-        while (block := spool.pop(c)) is not None:
-            pos, lcp = block
-            if not kept:
-                lcp = lcp.copy()
-                lcp[0] = 0
-            kept.append((pos, lcp))
-            forward(pos, lcp, lambda before, c=c: before <= c)
-        if kept:
-            pos, lcp = np.concatenate([p for p, _ in kept])[::-1], np.concatenate([x for _, x in kept])
-            up = np.concatenate([[0], lcp[1:][::-1]]).astype(np.uint8)
-            up[0] = seam(left[c][0][-1], pos[0]) if c in left else 0
-            pieces.append((pos, up))
+    queues[int(text[-1])].append(np.array([len(text) - 1]), np.zeros(1, np.uint8))
+    for c in range(top):
+        for pos, lcp in opened(queues[c].drained(), 0):
+            left.setdefault(c, Log(disk)).append(pos, lcp)
+            ends[c] = int(pos[-1])
+            forward(passed, pos, lcp, lambda before, c=c: before >= c)
+        if c in stars:
+            blocks = stars[c].drained()
+            head = next(blocks)
+            seam = min(run(ends[c]), run(int(head[0][0]))) if c in ends else 0
+            for pos, lcp in opened((b for part in ([head], blocks) for b in part), seam):
+                forward(passed, pos, lcp, lambda before, c=c: before > c)
+    passed = _Passed(top, cap)
+    for c in range(top)[::-1]:
+        least = None
+        for pos, lcp in opened(queues[c].drained(), 0):
+            out.append(pos, lcp)
+            least = int(pos[-1])
+            forward(passed, pos, lcp, lambda before, c=c: before <= c)
         if c in left:
-            pos, lcp = left[c]
-            down = np.concatenate([[0], lcp[1:][::-1]]).astype(np.uint8)
-            down[0] = seam(pos[-1], pieces[-1][0][0]) if kept else 0
-            forward(pos[::-1], down, lambda before, c=c: before < c)
-            pieces.append((pos, lcp))
-    spool.close()
-    pieces.reverse()
-    return np.concatenate([p for p, _ in pieces]), np.concatenate([x for _, x in pieces])
-
-
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes, up to ``cap``, of the suffixes at a and b, by direct comparison."""
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(cap + 1, np.int64)])
-    out = np.full(len(a), cap, np.uint8)
-    live = np.arange(len(a))
-    for k in range(cap):
-        if not len(live):
-            break
-        x = padded[a[live] + k]
-        same = (x == padded[b[live] + k]) & (x > 0)
-        out[live[~same]] = k
-        live = live[same]
+            seam = min(run(ends[c]), run(least)) if least is not None else 0
+            for pos, lcp in left[c].shifted_back(seam):
+                out.append(pos, lcp)
+                forward(passed, pos, lcp, lambda before, c=c: before < c)
+            left.pop(c)
     return out
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of ``names``, equal in no more than ``depth`` symbols or tied."""
-    rank = names.astype(np.int64) + 1
-    h = 1
-    while True:
-        key = rank << 32
-        key[:-h or None] |= np.append(rank[h:], np.zeros(0, np.int64)) if h < len(rank) else 0
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1])]).cumsum()
-        rank = np.empty(len(key), np.int64)
-        rank[order] = new
-        h *= 2
-        if new[-1] == len(rank) or h > depth or h >= len(rank):
-            return order
-
-
-def suffix_array(text: np.ndarray, cap: int, memory_entries: int = MEMORY_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``text`` (non-negative symbols) in order, and the common prefix of each with the one before, up to cap.
+def sorted_suffixes(text: np.ndarray, cap: int, disk: Disk) -> Iterator[Block]:
+    """Suffixes of ``text`` (symbols from 0 to 1,023) in order, in blocks, and the common prefix of each with the one before, up to cap.
 
     cap is 250 at most. Suffixes that agree in cap symbols may stand in any order among themselves.
     """
-    n = len(text)
-    if n == 0:
+    if not len(text):
+        return
+    top = max(int(text[i:j].max()) for i, j in _ranges(len(text), disk.block)) + 1
+    stars, _ = _sorted_stars(text, cap, disk)
+    logs: dict[int, Log] = {}
+    last = None
+    for pos in stars():
+        if not len(pos):
+            continue
+        chain = pos if last is None else np.concatenate([[last], pos])
+        most = np.minimum(len(text) - np.maximum(chain[:-1], chain[1:]), cap)
+        lcp = _agree(text, chain[:-1], chain[1:], most)
+        if last is None:
+            lcp = np.concatenate([[0], lcp])
+        symbol = _before(text, pos + 1)
+        for some in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(symbol)) + 1):
+            logs.setdefault(int(symbol[some[0]]), Log(disk)).append(pos[some], lcp[some].astype(np.uint8))
+        last = pos[-1]
+    out = _with_lengths(text, top, logs, cap, disk)
+    yield from out.shifted_back(0)
+
+
+def suffix_array(text: np.ndarray, cap: int, memory_entries: int = MEMORY_ENTRIES) -> Block:
+    """sorted_suffixes() as two arrays."""
+    parts = [*sorted_suffixes(text, cap, Disk(memory_entries))]
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    symbols = np.unique(text)
-    runs = _runs(text)
-    after = np.minimum(np.arange(n) + runs, n - 1)
-    small = text < text[after]  # the last run has no larger symbol after it: left
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(stars) > 1:
-        first = np.argsort(text[stars], kind="stable")
-        zero = np.zeros(len(stars), np.uint8)
-        order, _ = _induce(text, symbols, runs, stars[first], zero, cap, memory_entries)
-        is_star = np.zeros(n, bool)
-        is_star[stars] = True
-        order = order[is_star[order]]
-        number = np.zeros(n, np.int64)
-        number[stars] = np.arange(len(stars))
-        prefix = np.zeros(n + 1, np.uint64)
-        power, _ = scan.powers(n + 1)
-        np.cumsum(scan.mix(text.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-        ends = np.append(stars[1:] + 1, n)
-        hashes = scan.range_hash(prefix, stars, ends)[number[order]]
-        # The last star substring reaches the end of the text and has no equal.
-        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (number[order][1:] == len(stars) - 1) | (number[order][:-1] == len(stars) - 1)])
-        name = new.cumsum() - 1
-        if name[-1] + 1 < len(stars):
-            names = np.empty(len(stars), np.int64)
-            names[number[order]] = name
-            depth = cap // 2 + 2
-            by = suffix_array(names, min(depth, cap), memory_entries)[0] if name[-1] < QUEUE_SYMBOLS else _doubled(names, depth)
-            order = stars[by]
-        stars = order
-    lcp = np.concatenate([np.zeros(min(1, len(stars)), np.uint8), _common(text, stars[:-1], stars[1:], cap)])
-    return _induce(text, symbols, runs, stars, lcp, cap, memory_entries)
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))

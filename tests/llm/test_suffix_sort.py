@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from quillcount.llm import suffix_sort
 from quillcount.llm.suffix_sort import suffix_array
 
 
@@ -16,7 +17,7 @@ def brute(text):
     return order, lcp
 
 
-@pytest.mark.parametrize("memory", [1 << 20, 7])
+@pytest.mark.parametrize("memory", [1 << 20, 64, 7])
 @pytest.mark.parametrize("symbols", [1, 2, 3, 26, 500])
 def test_random(symbols, memory):
     rng = np.random.default_rng(symbols)
@@ -46,3 +47,23 @@ def test_capped():
     for p in range(len(text) - 19):
         want.setdefault(tuple(text[p : p + 20].tolist()), set()).add(p)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_text_far_larger_than_memory():
+    """Sorted in a sixteenth of its entries, at every level of the recursion; all the rest is on disk."""
+    rng = np.random.default_rng(2)
+    words = [rng.integers(97, 123, n) for n in rng.integers(2, 9, 300)]
+    text = np.concatenate([np.append(words[i], 32) for i in rng.integers(0, 300, 9000)]).astype(np.uint16)
+    text[20_000:26_000] = text[4_000:10_000]
+    limit = len(text) // 16
+    disk = suffix_sort.Disk(limit)
+    parts = [*suffix_sort.sorted_suffixes(text, 100, disk)]
+    assert disk.most <= limit and disk.spilled > len(text) and all(len(p) <= limit // 4 for p, _ in parts)
+    pos, lcp = (np.concatenate(c) for c in zip(*parts, strict=True))
+    raw = bytes(text.astype(np.uint8))
+    assert sorted(pos.tolist()) == list(range(len(text)))
+    heads = [raw[p : p + 100] for p in pos.tolist()]
+    assert all(a <= b for a, b in zip(heads, heads[1:], strict=False))
+    for k in range(1, len(heads), 7):
+        same = next((i for i, (x, y) in enumerate(zip(heads[k - 1], heads[k], strict=False)) if x != y), min(len(heads[k - 1]), len(heads[k])))
+        assert lcp[k] == same
