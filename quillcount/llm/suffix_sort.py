@@ -45,6 +45,7 @@ class Disk:
     def __init__(self, limit: int) -> None:
         self.limit, self.held, self.most, self.spilled = max(limit, 8), 0, 0, 0
         self.file, self.end = None, 0
+        self.free: dict[int, list[int]] = {}  # places by the logarithm of their size
         self.logs: set[Log] = set()
 
     @property
@@ -59,20 +60,27 @@ class Disk:
         self.most = max(self.most, self.held + n)
 
     def put(self, block: Block) -> tuple:
+        """To the scratch file, in space that blocks have left or at its end; numbers under 2**32 take four bytes."""
         if self.file is None:
             self.file = scratch_file()
-        at = self.end
+        block = tuple(c.astype(np.uint32) if c.dtype == np.int64 and len(c) and 0 <= c.min() and c.max() < 1 << 32 else c for c in block)
+        size = max(9, int(sum(c.nbytes for c in block) - 1).bit_length())
+        free = self.free.setdefault(size, [])
+        at = free.pop() if free else self.end
+        self.end = max(self.end, at + (1 << size))
         self.file.seek(at)
         for column in block:
             self.file.write(memoryview(np.ascontiguousarray(column)).cast("B"))
-        self.end = self.file.tell()
         self.spilled += len(block[0])
-        return at, len(block[0]), tuple(c.dtype for c in block)
+        return at, len(block[0]), tuple(c.dtype for c in block), size
 
-    def get(self, place: tuple) -> Block:
-        at, n, kinds = place
+    def take(self, place: tuple) -> Block:
+        """A block back from the file; its space is free."""
+        at, n, kinds, size = place
         self.file.seek(at)
-        return tuple(np.frombuffer(self.file.read(n * k.itemsize), k) for k in kinds)
+        block = tuple(np.frombuffer(self.file.read(n * k.itemsize), k) for k in kinds)
+        self.free[size].append(at)
+        return tuple(c.astype(np.int64) if c.dtype == np.uint32 else c for c in block)
 
     def stored(self, parts: Iterator[np.ndarray], dtype) -> np.ndarray:
         """The parts as one array: in memory if it's short, else a memory map."""
@@ -143,7 +151,7 @@ class Log:
 
     def _loaded(self, run: list) -> Block:
         self.disk.held -= sum(len(x[0]) for x in run if isinstance(x[0], np.ndarray))
-        return _joined([x if isinstance(x[0], np.ndarray) else self.disk.get(x) for x in run])
+        return _joined([x if isinstance(x[0], np.ndarray) else self.disk.take(x) for x in run])
 
     def drained(self) -> Iterator[Block]:
         """The entries in order, also those that come while it runs; each is forgotten."""
