@@ -184,14 +184,23 @@ def _ranges(n: int, step: int) -> Iterator[tuple[int, int]]:
 
 
 def _before(text: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """The symbols before ``pos``; a text on disk is read in its own order. Position 0 has none (any symbol)."""
-    at = np.maximum(pos - 1, 0)
-    if not isinstance(text, np.memmap):
-        return text[at].astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    out = np.empty(len(at), np.int64)
-    out[order] = text[at[order]]
-    return out
+    """The symbols before ``pos``; position 0 has none (any symbol)."""
+    return np.asarray(text)[np.maximum(pos - 1, 0)].astype(np.int64)
+
+
+def _grouped(key: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, its places in order), keys ascending; keys are under ``top``."""
+    order = np.argsort(key.astype(np.uint16) if top <= 1 << 16 else key, kind="stable")
+    ordered = key[order]
+    cuts = [0, *(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1).tolist(), len(ordered)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if j > i:
+            yield int(ordered[i]), order[i:j]
+
+
+def _range_of(edges: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Where symbols fall; ranges of one symbol each are the symbols."""
+    return symbol if edges[-1] == len(edges) - 1 else np.searchsorted(edges, symbol, "right") - 1
 
 
 def _stars(text: np.ndarray, disk: Disk) -> np.ndarray:
@@ -252,20 +261,22 @@ def _settled(text: np.ndarray, pos: np.ndarray, key: np.ndarray, fixed: np.ndarr
     An entry's place is by key, the queue's before the fixed, arrived before induced, and then by its inducer's
     place; sorted once more for each step of the longest chain of induced entries, all places are right.
     """
-    parent, level, steps = np.full(len(pos), -1), np.arange(len(pos)), 0
-    while len(level):
-        before = sign * _before(text, pos[level])
-        more = (pos[level] > 0) & (before >= low) & (before <= high) & np.where(fixed[level], before > key[level], before >= key[level])
-        up = level[more]
-        level = len(pos) + np.arange(len(up))
-        pos, key = np.append(pos, pos[up] - 1), np.append(key, before[more])
-        fixed, parent = np.append(fixed, np.zeros(len(up), bool)), np.append(parent, up)
+    parts, steps, level_start = [(pos, key, fixed, np.full(len(pos), -1))], 0, 0
+    while len(pos):
+        before = sign * _before(text, pos)
+        up = np.flatnonzero((pos > 0) & (before >= low) & (before <= high) & np.where(fixed, before > key, before >= key))
+        parent, level_start = level_start + up, level_start + len(pos)
+        pos, key, fixed = pos[up] - 1, before[up], np.zeros(len(up), bool)
+        parts.append((pos, key, fixed, parent))
         steps += 1
+    pos, key, fixed, parent = _joined(parts)
     induced = parent >= 0
     tie = np.where(induced, 0, np.arange(len(pos)))
     place = np.empty(len(pos), np.int64)
-    for _ in range(steps + 1):
-        order = np.lexsort((tie, induced, fixed, key))
+    first = (((key - low) * 2 + fixed) * 2 + induced) * len(pos)  # no two entries have the same sum with their tie
+    order = np.arange(len(pos))
+    for _ in range(steps + 1):  # from one step to the next little changes, which a merging sort uses
+        order = order[np.argsort((first + tie)[order], kind="stable")]
         place[order] = np.arange(len(pos))
         again = place[parent[induced]]
         if (tie[induced] == again).all():
@@ -284,13 +295,11 @@ def _pass(text: np.ndarray, edges: np.ndarray, sign: int, queues: dict[int, Log]
         sink(b, pos, symbol, held)
         before = _before(text, pos)
         later = np.where(held, sign * before > sign * symbol, sign * before >= sign * symbol) & (pos > 0)
-        bucket = np.searchsorted(edges, before, "right") - 1
-        if settled:  # what is induced inside the range has passed with it
-            later &= bucket != b
         at = np.flatnonzero(later)
-        at = at[np.argsort(bucket[at], kind="stable")]
-        for some in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else ():
-            queues.setdefault(int(bucket[some[0]]), Log(disk)).append(pos[some] - 1, before[some])
+        up, before = pos[at] - 1, before[at]
+        for bucket, some in _grouped(_range_of(edges, before), len(edges)):
+            if not settled or bucket != b:  # what is induced inside a settled range has passed with it
+                queues.setdefault(bucket, Log(disk)).append(up[some], before[some])
 
     for b in range(len(edges) - 1)[::sign]:
         logs = [queues.setdefault(b, Log(disk)), fixed.get(b, Log(disk))]
@@ -315,10 +324,8 @@ def _by_range(blocks: Iterator[np.ndarray], text: np.ndarray, edges: np.ndarray,
     out: dict[int, Log] = {}
     for pos in blocks:
         symbol = _before(text, pos + 1)
-        bucket = np.searchsorted(edges, symbol, "right") - 1
-        order = np.argsort(bucket, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
-            out.setdefault(int(bucket[some[0]]), Log(disk)).append(pos[some], symbol[some])
+        for bucket, some in _grouped(_range_of(edges, symbol), len(edges)):
+            out.setdefault(bucket, Log(disk)).append(pos[some], symbol[some])
     return out
 
 
@@ -458,11 +465,13 @@ def _with_lengths(text: np.ndarray, top: int, stars: dict[int, Log], cap: int, d
         """Pass a block on: the suffixes before its own, where ``wanted`` says so, enter their queues."""
         before = _before(text, pos)
         ok = np.flatnonzero((pos > 0) & wanted(before))
-        order = ok[np.argsort(before[ok].astype(np.uint16), kind="stable")]
-        targets = before[order]
-        lengths = passed.lengths(lcp, targets, order)
-        for some in np.split(np.arange(len(order)), np.flatnonzero(np.diff(targets)) + 1) if len(order) else ():
-            queues[int(targets[some[0]])].append(pos[order[some]] - 1, lengths[some])
+        groups = [*_grouped(before[ok], top)]
+        order = ok[np.concatenate([some for _, some in groups])] if groups else ok
+        lengths = passed.lengths(lcp, before[order], order)
+        up, at = pos[order] - 1, 0
+        for symbol, some in groups:
+            queues[symbol].append(up[at : at + len(some)], lengths[at : at + len(some)])
+            at += len(some)
 
     def opened(blocks: Iterator[Block], first: int) -> Iterator[Block]:
         """The blocks, their very first length replaced."""
@@ -520,8 +529,8 @@ def sorted_suffixes(text: np.ndarray, cap: int, disk: Disk) -> Iterator[Block]:
         if last is None:
             lcp = np.concatenate([[0], lcp])
         symbol = _before(text, pos + 1)
-        for some in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(symbol)) + 1):
-            logs.setdefault(int(symbol[some[0]]), Log(disk)).append(pos[some], lcp[some].astype(np.uint8))
+        for c, some in _grouped(symbol, top):
+            logs.setdefault(c, Log(disk)).append(pos[some], lcp[some].astype(np.uint8))
         last = pos[-1]
     out = _with_lengths(text, top, logs, cap, disk)
     yield from out.shifted_back(0)
