@@ -14,8 +14,9 @@ each of its words on, and within longer words from every few bytes, so any part
 the rest. A candidate's place is then verified with the exact edit distance between the whole item and the best part
 of the text there.
 
-Before the walk a test without loss lets only such windows pass as can be within the edits of some item's window:
-they share more than n - 7 - 8 * edits of their 8-byte strings with the items.
+Before the walk a test lets only such windows pass as can be within ``EDITS`` of their size of edits of some item's
+window: they share n - 7 - 8 * edits of their 8-byte strings with the items at least. An item whose edits all crowd in
+the part that its windows have in common can be missed by it.
 
 Items are taken in blocks of ``BLOCK_BYTES`` in expectation, by a hash; each block goes to all tasks and reads all
 texts, so any number of items takes bounded memory. Items of under ``LEAST`` bytes are found where they stand
@@ -43,7 +44,7 @@ from . import scan
 from .staging import staged
 
 EDITS = 0.08
-WALKS, TABLES, SAMPLED = 3, 8, 7
+WALKS, TABLES, SAMPLED = 3, 16, 6
 BLOCK_BYTES = 128 << 10
 LEAST = 32
 _GRAM = 8
